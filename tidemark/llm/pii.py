@@ -162,11 +162,12 @@ def op7_pii(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    of = lambda kind: F.filter("pii_spans", lambda s: s["kind"] == kind)
     label = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("pii_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE],
         F.sha2(F.array_join(F.transform(base, label), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("pii_spans", label), ",").alias("spans"),
     )
