@@ -6,8 +6,10 @@ import importlib
 from collections.abc import Callable
 
 _MODULES = {
+    "op3_sharding": "sharding",
     "op5_packing": "packing",
     "op7_pii": "pii",
+    "op9_url_filter": "urlrank",
 }
 
 
