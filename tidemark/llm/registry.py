@@ -6,8 +6,10 @@ import importlib
 from collections.abc import Callable
 
 _MODULES = {
+    "op1_topk": "topk",
     "op3_sharding": "sharding",
     "op5_packing": "packing",
+    "op6_ann": "ann",
     "op7_pii": "pii",
     "op9_url_filter": "urlrank",
 }

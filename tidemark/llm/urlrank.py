@@ -63,8 +63,8 @@ def judged(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     seeds = pages.groupBy("host").agg(
         F.count_if(F.col("ruled") == "allow").cast("double").alias("t0"), F.count_if(F.col("ruled") == "block").cast("double").alias("d0")
     )
-    target = F.translate(F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1))), UPPER, LOWER)
-    edges = pages.select(F.col("host").alias("src"), target.alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    links = F.transform(F.regexp_extract_all("html", F.lit(LINK), 1), lambda x: F.translate(x, UPPER, LOWER))
+    edges = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(links)).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     edges, _ = written(edges, "host-edges")
     # Each node's links are shares of 1, forwards for trust and backwards for distrust.
     outs, ins = edges.groupBy("src").agg(F.sum("w").alias("out")), edges.groupBy("dst").agg(F.sum("w").alias("in"))
