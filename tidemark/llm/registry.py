@@ -12,6 +12,7 @@ _MODULES = {
     "op6_ann": "ann",
     "op7_pii": "pii",
     "op9_url_filter": "urlrank",
+    "op10_bpe": "bpe",
 }
 
 
