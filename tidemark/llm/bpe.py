@@ -6,8 +6,9 @@ pass packs each chunk's documents as word positions; the encoded words come back
 and the documents are reassembled by position. So the shuffles carry distinct words of
 chunks and compressed positions, never a row per pre-token. Chunks are bounded by their text.
 
-The join back is by word, not by rank, so it does not matter if a re-run pass cuts its
-chunks elsewhere; a word that a chunk then lacks is encoded on the spot.
+Both passes list a chunk's words alike, so only ids come back, with a checksum of the words
+that they encode. Should a re-run pass cut its chunks elsewhere, the checksums differ and the
+words concerned are encoded on the spot: the result never depends on how the table is split.
 
 Decoding joins ids with the token-byte table, which the vocabulary bounds (about 50,000 rows).
 
@@ -18,6 +19,7 @@ none; only the named columns are read. ``ids`` are packed as little-endian unsig
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .tokenizers import ENCODING_VOCABULARY, encoding, token_bytes, vocabulary_path
 
-CHUNK_CHARS = 32 << 20
+CHUNK_CHARS = 8 << 20
 SLICE_CHARS = 1 << 20
 SHARDS_PER_PARTITION = 4
 
@@ -66,7 +68,8 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]
 
 
 def split(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct pre-tokens, the word number at each position, and the pre-tokens of each text."""
+    """Distinct pre-tokens, most frequent first, the word number at each position, and the
+    number of pre-tokens of each text."""
     find = regex.compile(public_tokenizers.PATTERN).findall
     slices, counts, words, held = [], [], [], 0
     for text in texts:
@@ -78,22 +81,36 @@ def split(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
             slices.append(pa.array(words, pa.string()).dictionary_encode())
             words, held = [], 0
     slices.append(pa.array(words, pa.string()).dictionary_encode())
-    whole = pa.chunked_array(slices).unify_dictionaries().combine_chunks()
-    whole = whole if isinstance(whole, pa.DictionaryArray) else whole.chunk(0)
-    return whole.dictionary, whole.indices.to_numpy(zero_copy_only=False), np.array(counts, np.int64)
+    whole = pa.chunked_array(slices).unify_dictionaries()
+    distinct = whole.chunk(0).dictionary
+    at = np.concatenate([x.indices.to_numpy(zero_copy_only=False) for x in whole.chunks])
+    order = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(distinct), np.uint32)
+    rank[order] = np.arange(len(distinct), dtype=np.uint32)
+    return distinct.take(pa.array(order)), rank[at], np.array(counts, np.int64)
+
+
+def by_shard(words: pa.Array, shards: int) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(shard, positions, words) of each shard that has words, in their order."""
+    shard = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.uint32, len(words)) % shards
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(edges)):
+        where = order[edges[s] : edges[s + 1]]
+        yield int(s), where, words.take(pa.array(where))
+
+
+def checksum(words: pa.Array) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(words.to_pylist()).encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _word_lists(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, texts in chunks(batches):
-            words, _, _ = split(texts)
-            shard = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.uint32, len(words)) % shards
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            full = [s for s in range(shards) if edges[s] < edges[s + 1]]
-            packed = [pack(word=words.take(pa.array(order[edges[s] : edges[s + 1]]))) for s in full]
-            if full:
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "shard", "words"])
+            packed = [(s, pack(word=w)) for s, _, w in by_shard(split(texts)[0], shards)]
+            if packed:
+                shard, words = zip(*packed, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(shard), pa.int64()), pa.array(shard, pa.int32()), pa.array(words, pa.binary())], ["chunk", "shard", "words"])
 
     return run
 
@@ -108,8 +125,9 @@ def _encoded_shard(path: str):
         lists = [unpack(b).column(0) for b in rows["words"].to_pylist()]
         distinct = pa.chunked_array(lists).unique()
         ids = encode_words(distinct, path)
-        known = [pack(word=x, ids=ids.take(pc.index_in(x, distinct))) for x in lists]
-        return pa.table({"chunk": rows["chunk"], "known": pa.array(known, pa.binary())})
+        known = [pack(ids=ids.take(pc.index_in(x, distinct))) for x in lists]
+        checks = pa.array([checksum(x) for x in lists], pa.int64())
+        return pa.table({"chunk": rows["chunk"], "shard": rows["shard"], "words_checksum": checks, "known": pa.array(known, pa.binary())})
 
     return run
 
@@ -117,34 +135,28 @@ def _encoded_shard(path: str):
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk, keys, texts in chunks(batches):
         words, at, counts = split(texts)
-        # Frequent words get low numbers, and bytes of one weight lie together: both compress better.
-        often = np.bincount(at, minlength=len(words))
-        order = np.argsort(-often, kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
-        planes = np.ascontiguousarray(rank[at].view(np.uint8).reshape(-1, 4).T)
+        planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T)  # bytes of one weight together compress better
         body = [
             pack(doc_id=pa.array(keys, pa.int64()), words=pa.array(counts)),
-            pack(word=words.take(pa.array(order))),
+            pack(word=words),
             pack(**{f"byte{i}": pa.array(p) for i, p in enumerate(planes)}),
         ]
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([b], pa.binary()) for b in body)], ["chunk", "docs", "words", "positions"])
 
 
-def _joined(path: str):
+def _joined(path: str, shards: int):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        parts = [unpack(b) for b in known["known"].to_pylist()]
-        have = pa.chunked_array([p.column(0) for p in parts], pa.string()).combine_chunks()
-        ids_of = pa.chunked_array([p.column(1) for p in parts], pa.list_(pa.uint32())).combine_chunks()
+        have = {(r["shard"], r["words_checksum"]): r["known"] for r in known.to_pylist()}
         out_keys, out_ids = [], []
         for row in docs.to_pylist():
-            own = unpack(row["words"]).column(0)
-            found = pc.index_in(own, have)
-            if found.null_count:
-                lacking = own.filter(pc.is_null(found))
-                have, ids_of = pa.concat_arrays([have, lacking]), pa.concat_arrays([ids_of, encode_words(lacking, path)])
-                found = pc.index_in(own, have)
-            mine = ids_of.take(found)
+            wheres, lists = [np.empty(0, np.int64)], []
+            words = unpack(row["words"]).column(0)
+            for shard, where, own in by_shard(words, shards):
+                blob = have.get((shard, checksum(own)))
+                lists.append(unpack(blob).column(0) if blob is not None else encode_words(own, path))
+                wheres.append(where)
+            back = np.argsort(np.concatenate(wheres), kind="stable")
+            mine = pa.chunked_array(lists, pa.list_(pa.uint32())).combine_chunks().take(pa.array(back))
             flat, starts = mine.flatten().to_numpy(zero_copy_only=False).astype("<u4"), mine.offsets.to_numpy() - mine.offsets[0].as_py()
             lengths = np.diff(starts)
             planes = unpack(row["positions"])
@@ -171,9 +183,9 @@ def encoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabular
     shards = SHARDS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     words = texts.mapInArrow(_word_lists(shards), "chunk long, shard int, words binary")
-    known = words.groupBy("shard").applyInArrow(_encoded_shard(path), "chunk long, known binary")
+    known = words.groupBy("shard").applyInArrow(_encoded_shard(path), "chunk long, shard int, words_checksum long, known binary")
     docs = texts.mapInArrow(_documents, "chunk long, docs binary, words binary, positions binary")
-    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_joined(path), "doc_id long, ids binary")
+    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_joined(path, shards), "doc_id long, ids binary")
 
 
 def decoded(df: DataFrame, ids: str = "ids", name: str = "decoded", vocabulary: str | None = None) -> DataFrame:
