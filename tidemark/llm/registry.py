@@ -7,10 +7,13 @@ from collections.abc import Callable
 
 _MODULES = {
     "op1_topk": "topk",
+    "op2_simhash": "simhash",
     "op3_sharding": "sharding",
+    "op4_html": "pages",
     "op5_packing": "packing",
     "op6_ann": "ann",
     "op7_pii": "pii",
+    "op8_quality": "quality",
     "op9_url_filter": "urlrank",
     "op10_bpe": "bpe",
 }
