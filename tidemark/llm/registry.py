@@ -5,6 +5,10 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
+import corpus_pipeline
+
+from . import topk
+
 _MODULES = {
     "op1_topk": "topk",
     "op2_simhash": "simhash",
@@ -21,8 +25,9 @@ _MODULES = {
 
 def queries() -> dict[str, Callable]:
     found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
-    return found
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    found = {"op1_topk": topk.ORACLE_OP1}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
