@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -144,10 +145,10 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([b], pa.binary()) for b in body)], ["chunk", "docs", "words", "positions"])
 
 
-def _joined(path: str, shards: int):
+def _joined(path: str, shards: int, decode: bool):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         have = {(r["shard"], r["words_checksum"]): r["known"] for r in known.to_pylist()}
-        out_keys, out_ids = [], []
+        out_keys, out_ids, out_bytes = [], [], []
         for row in docs.to_pylist():
             wheres, lists = [np.empty(0, np.int64)], []
             words = unpack(row["words"]).column(0)
@@ -170,22 +171,41 @@ def _joined(path: str, shards: int):
                 stop = np.cumsum(n)
                 index = np.arange(stop[-1] if len(n) else 0) + np.repeat(starts[:-1][w] - (stop - n), n)
                 out_ids.append(flat[index].tobytes())
+                if decode:
+                    out_bytes.append(decode_ids(out_ids[-1], path))
                 begin = end
             out_keys += each.column(0).to_pylist()
-        return pa.table({"doc_id": pa.array(out_keys, pa.int64()), "ids": pa.array(out_ids, pa.large_binary()).cast(pa.binary())})
+        found = {"doc_id": pa.array(out_keys, pa.int64()), "ids": pa.array(out_ids, pa.binary())}
+        return pa.table(found | ({"decoded": pa.array(out_bytes, pa.binary())} if decode else {}))
 
     return run
 
 
-def encoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """doc_id and the packed ids of each document."""
+def encoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, decode: bool = False) -> DataFrame:
+    """doc_id and the packed ids of each document; with ``decode`` also the bytes that those ids stand for."""
     path = vocabulary or vocabulary_path(ENCODING_VOCABULARY)
     shards = SHARDS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     words = texts.mapInArrow(_word_lists(shards), "chunk long, shard int, words binary")
     known = words.groupBy("shard").applyInArrow(_encoded_shard(path), "chunk long, shard int, words_checksum long, known binary")
     docs = texts.mapInArrow(_documents, "chunk long, docs binary, words binary, positions binary")
-    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_joined(path, shards), "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + (", decoded binary" if decode else "")
+    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_joined(path, shards, decode), schema)
+
+
+@lru_cache(2)
+def token_table(path: str) -> pa.Array:
+    """The bytes of each id, null where an id is not used."""
+    of = token_bytes(path)
+    return pa.array([of.get(i) for i in range(max(of) + 1)], pa.binary())
+
+
+def decode_ids(packed: bytes | None, path: str) -> bytes:
+    """Join packed ids with the token-byte table. Ids that the vocabulary lacks raise."""
+    tokens = token_table(path).take(pa.array(np.frombuffer(packed or b"", "<u4")))
+    if tokens.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    return b"".join(tokens.to_pylist()) if len(tokens) < 32 else _flat(tokens)
 
 
 def decoded(df: DataFrame, ids: str = "ids", name: str = "decoded", vocabulary: str | None = None) -> DataFrame:
@@ -193,15 +213,7 @@ def decoded(df: DataFrame, ids: str = "ids", name: str = "decoded", vocabulary:
     path = vocabulary or vocabulary_path(ENCODING_VOCABULARY)
 
     def run(packed: pa.Array) -> pa.Array:
-        of = token_bytes(path)
-        table = pa.array([of.get(i) for i in range(max(of) + 1)], pa.binary())
-        out = []
-        for blob in packed.to_pylist():
-            tokens = table.take(pa.array(np.frombuffer(blob or b"", "<u4")))
-            if tokens.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            out.append(b"".join(tokens.to_pylist()) if len(tokens) < 32 else _flat(tokens))
-        return pa.array(out, pa.binary())
+        return pa.array([decode_ids(x, path) for x in packed.to_pylist()], pa.binary())
 
     return df.withColumn(name, F.arrow_udf(run, "binary")(df[ids]))
 
@@ -215,7 +227,7 @@ def _flat(tokens: pa.BinaryArray) -> bytes:
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    whole = decoded(encoded(table(spark, sf_dir, "documents")))
+    whole = encoded(table(spark, sf_dir, "documents"), decode=True)  # one Python worker a task, not two
     return whole.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
