@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .tokenizers import ENCODING_VOCABULARY, encoding, token_bytes, vocabulary_path
 
 CHUNK_CHARS = 8 << 20
@@ -183,6 +184,7 @@ def _joined(path: str, shards: int, decode: bool):
 
 def encoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, decode: bool = False) -> DataFrame:
     """doc_id and the packed ids of each document; with ``decode`` also the bytes that those ids stand for."""
+    text_batches(df.sparkSession)
     path = vocabulary or vocabulary_path(ENCODING_VOCABULARY)
     shards = SHARDS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))

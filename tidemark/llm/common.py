@@ -32,6 +32,17 @@ def drop_now(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+#: Rows of an Arrow batch of whole texts; Spark's own default, ten times that, holds too much text.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has set them itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import text_batches
 from .tokenizers import PACKING_VOCABULARY, encoding, vocabulary_path
 
 WINDOW = 1024
@@ -152,6 +153,7 @@ class Packer:
 def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row per piece: which ids of which document lie where in which window."""
     path = vocabulary or vocabulary_path(PACKING_VOCABULARY)
+    text_batches(df.sparkSession)
     if window & (window - 1) or any(t & (t - 1) for t in tiers) or tiers[0] != window:
         raise ValueError("tiers are powers of two, and the first is the window")
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: In the order in which spans with equal starts are listed. The first four are always kept.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -149,12 +151,14 @@ def _redacted(texts: pa.Array) -> pa.Array:
 
 def with_spans(df: DataFrame, text: str = "text", name: str = "pii_spans") -> DataFrame:
     """Add the spans of ``text`` as an array of structs."""
+    text_batches(df.sparkSession)
     # Nondeterministic by name only: it is then not evaluated once for every later use of its column.
     return df.withColumn(name, F.arrow_udf(_spans, SPANS).asNondeterministic()(df[text]))
 
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace each span in ``text`` by its kind in square brackets."""
+    text_batches(df.sparkSession)
     return df.withColumn(text, F.arrow_udf(_redacted, "string")(df[text]))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .common import written
+from .common import text_batches, written
 
 ORDER = 4
 CHUNK_CHARS = 8 << 20
@@ -63,10 +63,31 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.uint64), *parts]), np.array(sizes, np.int64)
 
 
+def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Consecutive texts, cut wherever ``chars`` characters are reached."""
+    begin, held = 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= chars or end == len(texts):
+            yield texts[begin:end]
+            begin, held = end, 0
+
+
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct four-grams and how often each occurs."""
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for some in slices(texts):
+        own, n = np.unique(grams(some)[0], return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+    return keys, counts
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of one language each, packed in bounded chunks."""
     number = TaskContext.get().partitionId() << 24
     open_: dict[str, list] = {}
+    held = 0
 
     def close(lang: str) -> pa.RecordBatch:
         nonlocal number
@@ -82,8 +103,14 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at[1].append(text or "")
             at[2].append(bool(trusted))
             at[3] += len(text or "")
+            held += len(text or "")
             if at[3] >= CHUNK_CHARS:
+                held -= at[3]
                 yield close(lang or "")
+            elif held >= 2 * CHUNK_CHARS:  # many languages: the one with most text goes
+                most = max(open_, key=lambda x: open_[x][3])
+                held -= open_[most][3]
+                yield close(most)
     for lang in list(open_):
         yield close(lang)
 
@@ -95,7 +122,7 @@ def _chunk_counts(trusted_only: bool):
                 docs = unpack(blob)
                 if trusted_only:
                     docs = docs.filter(docs.column(2))
-                keys, counts = np.unique(grams(docs.column(1).to_pylist())[0], return_counts=True)
+                keys, counts = counted(docs.column(1).to_pylist())
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, chunk)), pa.array([lang]).take(pa.array(np.zeros(n, np.int8))), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["chunk", "lang", "gram", "n"]
@@ -111,13 +138,13 @@ def _scored(docs: pa.Table, scores: pa.Table) -> pa.Table:
     for blob in docs["docs"].to_pylist():
         rows = unpack(blob)
         texts, sums, sizes = rows.column(1).to_pylist(), [], []
-        for at in range(0, len(texts), 256):
-            found, size = grams(texts[at : at + 256])
+        for some in slices(texts):
+            found, size = grams(some)
             p = logs[np.searchsorted(keys, found)] if len(keys) else np.full(len(found), np.nan)
             ends = np.concatenate([[0.0], np.cumsum(p)])[np.concatenate([[0], np.cumsum(size)])]
             sums.append(np.diff(ends))
             sizes.append(size)
-        sums, sizes = np.concatenate(sums), np.concatenate(sizes)
+        sums, sizes = np.concatenate([np.empty(0), *sums]), np.concatenate([np.empty(0, np.int64), *sizes])
         with np.errstate(all="ignore"):
             mean = np.where(sizes > 0, -sums / np.maximum(sizes, 1), np.nan)
         out.append(pa.table({"doc_id": rows.column(0), "lang": pa.array([docs["lang"][0].as_py()] * len(texts)), "trusted": rows.column(2), "n": pa.array(sizes), "surprisal": pa.array(mean, mask=np.isnan(mean))}))
@@ -164,6 +191,7 @@ def scored_grams(counts: DataFrame, asked: DataFrame) -> DataFrame:
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, trusted, n (characters), surprisal (mean negative log probability of a character) of each document."""
+    text_batches(docs.sparkSession)
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(labels["doc_id"].cast("long").alias("doc_id"))
     good = good.join(labels.where("quality = 0 or toxic = 1").select("doc_id"), "doc_id", "left_anti").distinct().withColumn("trusted", F.lit(True))
     good, _ = written(good, "quality-trusted")

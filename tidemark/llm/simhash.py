@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_batches, written
 from .components import roots
 
 SEED = 42
@@ -205,6 +205,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def linked(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (signed long) and component_id of every document."""
+    text_batches(df.sparkSession)
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), F.arrow_udf(_fingerprints, "long")(df[text]).alias("fp"))
     docs, _ = written(docs, "simhash")
     distinct, _ = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
@@ -232,6 +233,9 @@ WIDE_BLOCK = 21
 COARSE_BITS = 26
 ALL_PAIRS = 64
 NEAREST = 16
+#: A leaf of more rows is dealt out over parts of about so many, all of them joined to its first row.
+LEAF_ROWS = 4096
+BROADCAST_LEAVES = 100_000
 
 
 def wide_fingerprint(words: list[bytes]) -> list[int]:
@@ -280,6 +284,23 @@ def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
 
+def spread(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Crowded leaves in parts, and the pairs of their rows with the leaf's first row.
+
+    A crowded leaf is a cluster of copies: most of its rows are near its first one, and the
+    others meet their like in their part and in other trees.
+    """
+    first = F.min(F.struct("least", "w0", "w1"))
+    crowded = shards.groupBy("leaf").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") > LEAF_ROWS)
+    crowded, _ = written(crowded, "similar-crowded")
+    few = crowded.count()
+    rows = shards.join(F.broadcast(crowded) if few <= BROADCAST_LEAVES else crowded, "leaf", "left")
+    apart = F.bit_count(F.col("w0").bitwiseXOR(F.col("first.w0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("first.w1")))
+    pairs = rows.where((F.col("least") > F.col("first.least")) & (apart <= COARSE_BITS)).select(F.col("first.least").alias("u"), F.col("least").alias("v"))
+    part = F.pmod(F.xxhash64("least"), F.ceil(F.coalesce("n", F.lit(1)) / LEAF_ROWS))
+    return rows.select("least", "w0", "w1", F.when(F.col("n").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", part)).alias("leaf")), pairs
+
+
 def jaccard(a: str | None, b: str | None, width: int = SIMILAR_SHINGLE) -> float:
     x, y = (np.unique(shingle_hashes(_words(t), width)) for t in (a, b))
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -292,6 +313,7 @@ def _similarities(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every document that has an id, by shingle similarity."""
+    text_batches(df.sparkSession)
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     profiles = docs.select("doc_id", F.arrow_udf(_profiles, "struct<key:binary,wide:array<bigint>>").asNondeterministic()(F.col("text")).alias("p")).select("doc_id", "p.*")
     profiles, _ = written(profiles, "similar-profiles")
@@ -300,8 +322,10 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     block = (1 << WIDE_BLOCK) - 1
     leaves = [leaf(F.col("wide")[w], block << (WIDE_BLOCK * i), 100 + 3 * w + i, 10) for w in range(WIDE) for i in range(3)]
     shards = distinct.select("least", F.col("wide")[0].alias("w0"), F.col("wide")[1].alias("w1"), F.explode(F.array(*leaves)).alias("leaf"))
+    shards, _ = written(shards, "similar-shards")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    proposed = shards.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_proposals, "u long, v long").distinct()
+    shards, to_first = spread(shards)
+    proposed = shards.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_proposals, "u long, v long").unionByName(to_first).distinct()
     proposed, _ = written(proposed, "similar-proposed")
     # Texts of the proposed pairs only, one row per distinct text.
     asked = proposed.select(F.col("u").alias("doc_id")).unionByName(proposed.select(F.col("v").alias("doc_id"))).distinct()
