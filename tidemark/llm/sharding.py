@@ -4,11 +4,9 @@ Documents with equal texts form one group and go to one shard. A partial partiti
 subsets starts as one group beside k-1 empty subsets; the two with the largest spread are
 combined in opposite order (largest subset with smallest), until one is left.
 
-At scale the differencing is hierarchical. Small groups are first bundled: each hash block
-of groups is differenced into ``BUNDLES`` bundles of nearly equal bytes, and groups larger than
-the bundles of their block come out as bundles of their own. The bundles, ``BUNDLES`` a block
-whatever the corpus, are the items of the final differencing. Only (bundle, bytes) meets in
-one task; documents never do.
+The items are the groups larger than a 4096th of all bytes, and 4096 bundles of the others by a
+hash of the text: fewer than 8192 items whatever the corpus, each small beside a shard. Only
+(bundle, bytes) meets in one task; documents and groups never do.
 
 Defined results: a null text counts as empty, and both are one group; repeated rows and
 null ids are placed like any row; an empty table gives no rows; other columns are not read.
@@ -18,10 +16,7 @@ A group larger than a shard's share stays whole, and the other shards share the
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,69 +24,46 @@ from pyspark.sql import functions as F
 from .common import numbered, written
 
 SHARDS = 16
-BUNDLES = 64
-GROUPS_PER_BLOCK = 20_000
+#: Groups over this share of all bytes are items by themselves; the others share so many bundles.
+BUNDLES = 4096
 
 
 def difference(sizes: np.ndarray, ways: int) -> np.ndarray:
     """Karmarkar-Karp: the subset, 0 to ways-1, of each item."""
     n = len(sizes)
-    if not n:
-        return np.empty(0, np.int32)
-    # Node i < n is an item; a later node joins two others. order[node][j]: which subsets of its
-    # children make up its subset j. Only the non-empty subsets of a node are kept, largest first.
-    children: list[tuple] = []
+    if not n or ways == 1:
+        return np.zeros(n, np.int32)
+    # Node i < n is an item; a later node joins two others. order[j]: which subsets of its children make its subset j.
     heap = [(-int(s), i, (int(s),)) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
+    children: list[tuple] = []
     while len(heap) > 1:
         _, a, x = heapq.heappop(heap)
         _, b, y = heapq.heappop(heap)
         x += (0,) * (ways - len(x))
         y += (0,) * (ways - len(y))
         joined = sorted(((x[j] + y[ways - 1 - j], j) for j in range(ways)), reverse=True)
-        low = joined[-1][0]
-        children.append((a, b, [j for _, j in joined]))
         sums = tuple(v for v, _ in joined)
-        heapq.heappush(heap, (low - sums[0], n + len(children) - 1, sums))
-    # A subset's label travels down from the last node to the items.
-    labels: dict[int, list[int]] = {n + len(children) - 1: list(range(ways))} if children else {0: list(range(ways))}
-    out = np.zeros(n, np.int32)
+        children.append((a, b, [j for _, j in joined]))
+        heapq.heappush(heap, (sums[-1] - sums[0], n + len(children) - 1, sums))
+    # The final labels travel down from the last node to the items.
+    labels: dict[int, list[int]] = {n + len(children) - 1: list(range(ways))}
     for node in range(n + len(children) - 1, n - 1, -1):
         a, b, order = children[node - n]
-        mine = labels.pop(node)
         first, second = [0] * ways, [0] * ways
-        for label, j in zip(mine, order, strict=True):
+        for label, j in zip(labels.pop(node), order, strict=True):
             first[j], second[ways - 1 - j] = label, label
-        for child, own in ((a, first), (b, second)):
-            if child < n:
-                out[child] = own[0]
-            else:
-                labels[child] = own
-    return out
-
-
-def _bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks arrive in order; each becomes its bundles."""
-
-    def close(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["bytes", "key"], ascending=[False, True])
-        sizes = block["bytes"].to_numpy()
-        # Groups that alone outweigh an even bundle of their block stay items of the final differencing.
-        alone = sizes * BUNDLES > sizes.sum()
-        label = np.empty(len(block), np.int64)
-        label[alone] = BUNDLES + np.arange(alone.sum())
-        label[~alone] = difference(sizes[~alone], BUNDLES)
-        return pd.DataFrame({"key": block["key"], "bundle": block["block"].to_numpy(np.int64) * (1 << 20) + label, "bytes": sizes})
-
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        for _, part in batch.groupby("block", sort=False):
-            if held and held[0]["block"].iloc[0] != part["block"].iloc[0]:
-                yield close(pd.concat(held))
-                held = []
-            held.append(part)
-    if held:
-        yield close(pd.concat(held))
+        labels[a], labels[b] = first, second
+    return np.array([labels[i][0] for i in range(n)], np.int32)
+
+
+def placed(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each item; sizes fall. An item of at least an even share of what is left has a shard alone."""
+    alone, rest = 0, int(sizes.sum())
+    while alone < min(shards - 1, len(sizes)) and int(sizes[alone]) * (shards - alone) >= rest:
+        rest -= int(sizes[alone])
+        alone += 1
+    return np.concatenate([np.arange(alone, dtype=np.int32), alone + difference(sizes[alone:], shards - alone)]).astype(np.int32)
 
 
 def sharded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -105,22 +77,19 @@ def sharded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     )
     rows, _ = written(rows, "shard-rows")  # the texts are read once
     # All rows of a group have one size: its bytes are that times its rows.
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    blocks = max(1, -(-groups.count() // GROUPS_PER_BLOCK))
-    groups = groups.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    bundled, _ = written(
-        groups.repartition("block").sortWithinPartitions("block").mapInPandas(_bundled, "key binary, bundle long, bytes long"), "shard-bundles"
-    )
-    bundles = bundled.groupBy("bundle").agg(F.sum("bytes").alias("bytes"))
+    groups, _ = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    large = F.col("bytes") * BUNDLES > total  # fewer than BUNDLES groups
+    bundle = F.when(large, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(BUNDLES)).cast("string").cast("binary"))
+    groups = groups.select("key", "bytes", bundle.alias("bundle"))
+    sums = groups.groupBy("bundle").agg(F.sum("bytes").alias("bytes"))
 
     def place(items: pa.Table) -> pa.Table:
         items = items.sort_by([("bytes", "descending"), ("bundle", "ascending")])
-        shard = difference(items["bytes"].to_numpy(), shards)
-        return pa.table({"bundle": items["bundle"], "shard": pa.array(shard, pa.int32())})
+        return pa.table({"bundle": items["bundle"], "shard": pa.array(placed(items["bytes"].to_numpy(), shards), pa.int32())})
 
-    # At most 2 * BUNDLES items a block: a few thousand in a billion documents' bundles a task can hold.
-    placed = bundles.groupBy().applyInArrow(place, "bundle long, shard int")
-    at = bundled.join(placed, "bundle").select("key", "shard")
+    # Fewer than 2 * BUNDLES rows, whatever the corpus: one task and a broadcast hold them.
+    at = groups.join(F.broadcast(sums.groupBy().applyInArrow(place, "bundle binary, shard int")), "bundle").select("key", "shard")
     rows = rows.join(at, "key").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
     return numbered(rows, "shard", ["doc_id", "text_crc32"], "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
