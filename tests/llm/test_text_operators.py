@@ -1,6 +1,7 @@
 """Operators on texts against brute-force versions, and their defined results at the edges."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -436,3 +437,16 @@ def test_bpe_query(spark, corpus):
         own = found[r["doc_id"]]
         assert own["n_tokens"] == len(ids) and own["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
         assert own["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+def test_shared_lines_are_longest_without_a_table(monkeypatch):
+    rng = random.Random(5)
+    for n, m in ((1, 30), (30, 1), (40, 55), (64, 64)):
+        a, b = ([rng.choice("abcdef") for _ in range(k)] for k in (n, m))
+        by_table = pages.shared_lines(a, b)
+        monkeypatch.setattr(pages, "TABLE", 6)
+        monkeypatch.setattr(pages, "BLOCK_LINES", 13)
+        without = pages.shared_lines(a, b)
+        monkeypatch.undo()
+        rest = iter(b)
+        assert len(without) == len(by_table) and all(a[i] in rest for i in sorted(without))
