@@ -62,3 +62,13 @@ def content_dedup(snapshots: DataFrame) -> DataFrame:
     """Good rows with the id that keeps their bytes: the first of the source with the same content."""
     order = W.partitionBy("source_id", "raw_hash").orderBy(*IN_TIME)
     return snapshots.where("ok").select("id", "source_id", "raw_hash", F.first("id").over(order).alias("content_id"), (F.row_number().over(order) == 1).alias("keeps_bytes"))
+
+
+def with_inherited(rows: DataFrame) -> DataFrame:
+    """Add ``normalized_hash``: the row's own, or that of a row of the source with the same content.
+
+    A join with one row per content, so that a content of many rows can be split.
+    """
+    known = rows.groupBy("source_id", "raw_hash").agg(F.max("own").alias("shared"))
+    joined = rows.join(known, ["source_id", "raw_hash"], "left")
+    return joined.withColumns({"normalized_hash": F.coalesce("own", "shared"), "inherited": F.col("own").isNull()})
