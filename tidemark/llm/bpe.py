@@ -41,11 +41,11 @@ SLICE_CHARS = 1 << 20
 SHARDS_PER_PARTITION = 4
 
 
-def pack(**columns: pa.Array) -> bytes:
+def pack(*, level: int = 1, **columns: pa.Array) -> bytes:
     """Columns of equal length as one compressed Arrow stream."""
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_pydict(columns)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
@@ -92,7 +93,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(lang: str) -> pa.RecordBatch:
         nonlocal number
         keys, texts, trusted, _ = open_.pop(lang)
-        blob = pack(doc_id=pa.array(keys, pa.int64()), text=pa.array(texts, pa.string()), trusted=pa.array(trusted, pa.bool_()))
+        blob = pack(doc_id=pa.array(keys, pa.int64()), text=pa.array(texts, pa.string()), trusted=pa.array(trusted, pa.bool_()), level=6)
         number += 1
         return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([lang], pa.string()), pa.array([blob], pa.binary())], ["chunk", "lang", "docs"])
 
@@ -166,7 +167,8 @@ def _order(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d1"))
     found = found.withColumn("cut", F.least(cut, F.col("c").cast("double"))).withColumn("hist", F.shiftrightunsigned("gram", 16))
     hist = found.groupBy("lang", "hist").agg(F.sum("c").cast("double").alias("total"), F.sum("cut").alias("left"))
-    own = found.join(hist, ["lang", "hist"]).select("lang", "gram", ((F.col("c") - F.col("cut")) / F.col("total")).alias("own"))
+    total = F.sum("c").over(W.partitionBy("lang", "hist"))  # a history has at most one row for each character
+    own = found.select("lang", "gram", ((F.col("c") - F.col("cut")) / total).alias("own"))
     return own, hist.select("lang", "hist", (F.col("left") / F.col("total")).alias("gamma"))
 
 
@@ -198,6 +200,10 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     few = good.count() <= BROADCAST_IDS
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
     rows = rows.join(F.broadcast(good) if few else good, "doc_id", "left").select("doc_id", "text", "lang", "trusted")
+    # Many small partitions would make many small chunks, which repeat each other's grams; a task
+    # with text for several chunks fills those of each language.
+    chars = docs.agg(F.sum(F.char_length("text"))).head()[0] or 0
+    rows = rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // (4 * CHUNK_CHARS))))
     chunks, _ = written(rows.mapInArrow(_chunked, "chunk long, lang string, docs binary"), "quality-chunks")
     chunk_schema = "chunk long, lang string, gram long, n long"
     counts = chunks.mapInArrow(_chunk_counts(True), chunk_schema).groupBy("lang", "gram").agg(F.sum("n").alias("c"))
