@@ -150,6 +150,17 @@ def test_similar_edges(spark, docs):
     assert simhash.similar(empty(docs)).count() == 0
 
 
+def test_every_close_pair_of_two_groups_is_proposed(spark, monkeypatch):
+    """A large leaf whose rows are in several groups, in blocks far smaller than the leaf."""
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 16)
+    rows = [(7, i, (1 << (i % 60)) - 1, (1 << (i % 7)) - 1) for i in range(150)] + [(8, 1000 + i, 0, 0) for i in range(70)] + [(9, 2000, 0, 0), (9, 2001, 0, 0)]
+    root = {i: i % 3 for i in range(150) if i > 2} | {1000 + i: 1000 for i in range(1, 70)}
+    found = simhash.open_pairs(spark.createDataFrame(rows, "leaf long, least long, w0 long, w1 long"), spark.createDataFrame(list(root.items()), "u long, v long")).collect()
+    apart = lambda a, b: bin(a[2] ^ b[2]).count("1") + bin(a[3] ^ b[3]).count("1")
+    wanted = {(a[1], b[1]) for a in rows[:150] for b in rows[:150] if a[1] < b[1] and a[1] % 3 != b[1] % 3 and apart(a, b) <= simhash.COARSE_BITS}
+    assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+
+
 def test_hot_group_of_near_copies_is_one_group(spark):
     base = [f"word{i}" for i in range(200)]
     rows = [(i, " ".join(base[:150] + [f"own{i}"] + base[150:])) for i in range(1500)] + [(9000 + i, f"quite other text number {i} about thing {i * 7}") for i in range(50)]

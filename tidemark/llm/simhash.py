@@ -232,8 +232,10 @@ WIDE_BLOCK = 21
 #: Of the first 128 bits of two documents at 0.8, about a fifteenth differs.
 COARSE_BITS = 26
 ALL_PAIRS = 64
-NEAREST = 16
-#: A leaf of more rows is dealt out over parts of about so many, all of them joined to its first row.
+#: A leaf of more than ALL_PAIRS rows is searched twice: first so many of each row's nearest, then
+#: all pairs whose rows are still in different groups.
+NEAREST = 4
+#: A leaf of more rows is dealt out over parts of about so many.
 LEAF_ROWS = 4096
 BROADCAST_LEAVES = 100_000
 
@@ -261,7 +263,7 @@ def _profiles(texts: pa.Array) -> pa.Array:
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a leaf that are close in the first 128 bits: all of a small leaf; of a larger one,
-    which is a cluster of copies, each member's nearest and links that span the leaf."""
+    which is a cluster of copies, each member's nearest (``open_pairs`` takes the rest)."""
     for shard in grouped(batches, "leaf"):
         ids = shard["least"].to_numpy()
         x, y = shard["w0"].to_numpy().view(np.uint64), shard["w1"].to_numpy().view(np.uint64)
@@ -287,8 +289,8 @@ def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spread(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Crowded leaves in parts, and the pairs of their rows with the leaf's first row.
 
-    A crowded leaf is a cluster of copies: most of its rows are near its first one, and the
-    others meet their like in their part and in other trees.
+    A crowded leaf is a cluster of copies: most of its rows are near its first one.
+    ``open_pairs`` finds the links that this leaves out.
     """
     first = F.min(F.struct("least", "w0", "w1"))
     crowded = shards.groupBy("leaf").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") > LEAF_ROWS)
@@ -301,14 +303,77 @@ def spread(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("least", "w0", "w1", F.when(F.col("n").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", part)).alias("leaf")), pairs
 
 
-def jaccard(a: str | None, b: str | None, width: int = SIMILAR_SHINGLE) -> float:
-    x, y = (np.unique(shingle_hashes(_words(t), width)) for t in (a, b))
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block, an asking row and another of a different group, close in the first 128 bits."""
+    for block in grouped(batches, "block"):
+        ids, root, asks = (block[c].to_numpy() for c in ("least", "root", "asks"))
+        x, y = block["w0"].to_numpy().view(np.uint64), block["w1"].to_numpy().view(np.uint64)
+        asking, held = np.flatnonzero(asks), np.flatnonzero(~asks)
+        for at in range(0, len(asking), 256):
+            i = asking[at : at + 256]
+            d = np.bitwise_count(x[i, None] ^ x[held]).astype(np.int16) + np.bitwise_count(y[i, None] ^ y[held])
+            a, b = np.nonzero((d <= COARSE_BITS) & (root[i, None] != root[held]))
+            if len(a):
+                u, v = ids[i[a]], ids[held[b]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def open_pairs(shards: DataFrame, root: DataFrame) -> DataFrame:
+    """All close pairs of leaves over ALL_PAIRS rows whose rows are in different groups so far.
+
+    Rows outside a leaf's largest group ask, all of its rows answer, in blocks of bounded size:
+    a leaf that is one group costs nothing, and one with few strays costs a pass for these.
+    """
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_LEAVES else df
+    large, _ = written(shards.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > ALL_PAIRS).select("leaf"), "similar-large")
+    rows = shards.join(small(large, large.count()), "leaf")
+    rows = rows.join(root.select(F.col("u").alias("least"), F.col("v").alias("root")), "least", "left").withColumn("root", F.coalesce("root", "least"))
+    rows, _ = written(rows.select("leaf", "least", "w0", "w1", "root"), "similar-labelled")
+    groups = rows.groupBy("leaf", "root").agg(F.count("*").alias("n"))
+    leaves = groups.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", "n").alias("main"), F.count("*").alias("groups"))
+    parts = lambda n: F.ceil(n / LEAF_ROWS).cast("long")
+    leaves = leaves.where("groups > 1").select("leaf", "main", parts(F.col("n") - F.col("most")).alias("askers"), parts(F.col("n")).alias("holders"))
+    leaves, _ = written(leaves, "similar-leaves")
+    rows = rows.join(small(leaves, leaves.count()), "leaf")
+    of = lambda n, salt: F.pmod(F.xxhash64("least", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ["leaf", "least", "w0", "w1", "root"]
+    asking = rows.where("root <> main").select(*kept, F.lit(True).alias("asks"), of("askers", 1).alias("i"), every("holders").alias("j"))
+    held = rows.select(*kept, F.lit(False).alias("asks"), every("askers").alias("i"), of("holders", 2).alias("j"))
+    blocks = asking.unionByName(held).select("least", "w0", "w1", "root", "asks", F.xxhash64("leaf", "i", "j").alias("block"))
+    count = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(count, "block").sortWithinPartitions("block").mapInArrow(_across, "u long, v long").distinct()
+
+
+def shingles(text: str | None, width: int = SIMILAR_SHINGLE) -> np.ndarray:
+    return np.unique(shingle_hashes(_words(text), width))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets of shingles; two empty ones are equal."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def _similarities(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([jaccard(s, t) for s, t in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    """A text of several pairs of the batch is hashed once."""
+    sets: dict[str | None, np.ndarray] = {}
+    found = []
+    for pair in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        for text in pair:
+            if text not in sets:
+                sets[text] = shingles(text)
+        found.append(jaccard(sets[pair[0]], sets[pair[1]]))
+    return pa.array(found, pa.float64())
+
+
+def confirmed(proposed: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The proposed pairs (u, v) whose texts are as similar as that."""
+    # Texts of the proposed pairs only, one row per distinct text.
+    asked = proposed.select(F.col("u").alias("doc_id")).unionByName(proposed.select(F.col("v").alias("doc_id"))).distinct()
+    texts, _ = written(docs.join(asked, "doc_id").groupBy("doc_id").agg(F.first("text", True).alias("text")), "similar-texts")
+    pairs = proposed.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    return pairs.where(F.arrow_udf(_similarities, "double")("a", "b") >= similarity).select("u", "v")
 
 
 def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -324,14 +389,13 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     shards = distinct.select("least", F.col("wide")[0].alias("w0"), F.col("wide")[1].alias("w1"), F.explode(F.array(*leaves)).alias("leaf"))
     shards, _ = written(shards, "similar-shards")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards, to_first = spread(shards)
-    proposed = shards.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_proposals, "u long, v long").unionByName(to_first).distinct()
+    dealt, to_first = spread(shards)
+    proposed = dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_proposals, "u long, v long").unionByName(to_first).distinct()
     proposed, _ = written(proposed, "similar-proposed")
-    # Texts of the proposed pairs only, one row per distinct text.
-    asked = proposed.select(F.col("u").alias("doc_id")).unionByName(proposed.select(F.col("v").alias("doc_id"))).distinct()
-    texts, _ = written(docs.join(asked, "doc_id").groupBy("doc_id").agg(F.first("text", True).alias("text")), "similar-texts")
-    pairs = proposed.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    close = pairs.where(F.arrow_udf(_similarities, "double")("a", "b") >= similarity).select("u", "v")
+    close, _ = written(confirmed(proposed, docs, similarity), "similar-close")
     root = roots(close)
+    rest, _ = written(open_pairs(shards, root).join(proposed, ["u", "v"], "left_anti"), "similar-rest")
+    if rest.head(1):
+        root = roots(close.unionByName(confirmed(rest, docs, similarity)))
     at = distinct.select("key", "least").join(root.select(F.col("u").alias("least"), "v"), "least", "left").select("key", F.coalesce("v", "least").alias("component_id"))
     return profiles.select("doc_id", "key").join(at, "key", "left").select("doc_id", "component_id")
