@@ -1,3 +1,3 @@
 """Lenses over the benchmark tables and the catalogue of queries."""
 
-from tidemark.plans import catalogue, reports  # noqa: F401  (reports registers its queries in the catalogue)
+from tidemark.plans import catalogue, guards, reports  # noqa: F401  (they register their queries in the catalogue)
