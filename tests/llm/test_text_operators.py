@@ -169,6 +169,21 @@ def test_hot_group_of_near_copies_is_one_group(spark):
     assert groups[0] == 1500 and len(groups) == 51
 
 
+def test_contiguous_edits_are_linked(spark):
+    """Texts with a piece appended, cut off or replaced, at 0.8 or a little more."""
+    pick = random.Random(5)
+    prose = lambda n: [f"w{pick.randrange(900)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        base = prose(pick.randrange(60, 400))
+        n = len(base)
+        appended, cut, replaced = base + prose(int(0.24 * (n - 4))), base[: n - int(0.19 * (n - 4))], base[: n // 3] + prose(max(1, int(0.1 * (n - 4)) - 4)) + base[n // 3 + max(1, int(0.1 * (n - 4)) - 4) :]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1 + i % 3, " ".join((appended, cut, replaced)[i % 3]))]
+    links = plain_similar([{"text": t} for _, t in rows])
+    group = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(links) == 60 and all(group[rows[i][0]] == group[rows[j][0]] for i, j in links)
+
+
 # ---------------------------------------------------------------- sharding
 
 

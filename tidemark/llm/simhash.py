@@ -5,7 +5,9 @@ Two ways to use it:
 * ``linked``: 64-bit fingerprints of 3-word shingles; fingerprints link at 2 or fewer differing
   bits, and the connected components are the groups. Exact.
 * ``similar``: groups of documents whose sets of 5-word shingles have a Jaccard similarity of
-  0.8 or more. Wider SimHash fingerprints propose pairs, exact similarities confirm them.
+  0.8 or more. Exact. Wider SimHash fingerprints propose most pairs, a join on the rarest
+  shingles of each text proposes all that the fingerprints leave out, and exact similarities
+  confirm them.
 
 A tree works on a sub-metric, the Hamming distance on some of the bits. Its levels are vantage
 points: every fingerprint goes down the branch of its ring, its distance from the vantage point.
@@ -29,7 +31,9 @@ texts are read whole; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -238,6 +242,13 @@ NEAREST = 4
 #: A leaf of more rows is dealt out over parts of about so many.
 LEAF_ROWS = 4096
 BROADCAST_LEAVES = 100_000
+#: Words of 64 bits in an odd sketch.
+ODD = 8
+#: One document in so many is read for the common shingles, which are those in COMMON of them or
+#: more, at most MOST_COMMON. They only order the shingles: the links are the same for any.
+SAMPLE = 16
+COMMON = 4
+MOST_COMMON = 100_000
 
 
 def wide_fingerprint(words: list[bytes]) -> list[int]:
@@ -253,12 +264,49 @@ def wide_fingerprint(words: list[bytes]) -> list[int]:
     return out
 
 
-def _profiles(texts: pa.Array) -> pa.Array:
+def odd_sketch(own: np.ndarray) -> list[int]:
+    """Bits that are set if an odd number of the shingles falls on them.
+
+    Shingles of both sets fall out: two sketches differ in no more bits than their sets in shingles.
+    """
+    odd = np.bincount((own & np.uint64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def rarest(own: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones before common ones: two sets that similar share one.
+
+    They share ``similarity`` of the larger one at least, so not all that they share can come later.
+    """
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        own = own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")]
+    return own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if len(own) else own
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of a sample of the texts, in order, and their counts."""
+    sets = lambda texts: pa.array([shingles(t).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    found = sample.select(F.explode(F.arrow_udf(sets, "array<bigint>")("text")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    top = found.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).collect()
+    keys, counts = np.array([r["shingle"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+PROFILE = "struct<key:binary,wide:array<bigint>,n:bigint,odd:array<bigint>,rarest:array<bigint>>"
+
+
+def _profiles(texts: pa.Array, similarity: float, common: np.ndarray, counts: np.ndarray) -> pa.Array:
     rows = []
     for text in texts.to_pylist():
         words = _words(text)
-        rows.append({"key": xxhash.xxh3_128_digest(b" ".join(words)), "wide": wide_fingerprint(words)})
-    return pa.array(rows, pa.struct([("key", pa.binary()), ("wide", pa.list_(pa.int64()))]))
+        own = shingles(text)
+        first = rarest(own, similarity, common, counts).view(np.int64)
+        rows.append({"key": xxhash.xxh3_128_digest(b" ".join(words)), "wide": wide_fingerprint(words), "n": len(own), "odd": odd_sketch(own), "rarest": first})
+    longs = pa.list_(pa.int64())
+    return pa.array(rows, pa.struct([("key", pa.binary()), ("wide", longs), ("n", pa.int64()), ("odd", longs), ("rarest", longs)]))
 
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,31 +366,53 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
 
-def open_pairs(shards: DataFrame, root: DataFrame) -> DataFrame:
-    """All close pairs of leaves over ALL_PAIRS rows whose rows are in different groups so far.
+def _possible(batches: Iterator[pa.RecordBatch], apart: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block, an asking row and another of a different group, whose sets may differ in
+    no more than ``apart`` of the sum of their sizes: by sizes and sketches they cannot be ruled out."""
+    for block in grouped(batches, "block"):
+        ids, root, asks, n = (block[c].to_numpy() for c in ("least", "root", "asks", "n"))
+        odd = [block[f"o{w}"].to_numpy().view(np.uint64) for w in range(ODD)]
+        asking, held = np.flatnonzero(asks), np.flatnonzero(~asks)
+        for at in range(0, len(asking), 256):
+            i = asking[at : at + 256]
+            d = np.abs(n[i, None] - n[held])
+            np.maximum(d, sum(np.bitwise_count(o[i, None] ^ o[held]).astype(np.int64) for o in odd), out=d)
+            a, b = np.nonzero((d <= apart * (n[i, None] + n[held]) + 1e-6) & (root[i, None] != root[held]))
+            if len(a):
+                u, v = ids[i[a]], ids[held[b]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def open_pairs(shards: DataFrame, root: DataFrame, over: int = ALL_PAIRS, across: Callable = _across, sketches: DataFrame | None = None) -> DataFrame:
+    """All close pairs of leaves over ``over`` rows whose rows are in different groups so far.
+
+    ``across`` tells which are close, by the columns w0 and w1 of ``shards`` or those of ``sketches``.
 
     Rows outside a leaf's largest group ask, all of its rows answer, in blocks of bounded size:
     a leaf that is one group costs nothing, and one with few strays costs a pass for these.
     """
     small = lambda df, n: F.broadcast(df) if n <= BROADCAST_LEAVES else df
-    large, _ = written(shards.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > ALL_PAIRS).select("leaf"), "similar-large")
+    large, _ = written(shards.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > over).select("leaf"), "similar-large")
     rows = shards.join(small(large, large.count()), "leaf")
     rows = rows.join(root.select(F.col("u").alias("least"), F.col("v").alias("root")), "least", "left").withColumn("root", F.coalesce("root", "least"))
-    rows, _ = written(rows.select("leaf", "least", "w0", "w1", "root"), "similar-labelled")
+    rows, _ = written(rows.select(*shards.columns, "root"), "similar-labelled")
     groups = rows.groupBy("leaf", "root").agg(F.count("*").alias("n"))
     leaves = groups.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", "n").alias("main"), F.count("*").alias("groups"))
     parts = lambda n: F.ceil(n / LEAF_ROWS).cast("long")
     leaves = leaves.where("groups > 1").select("leaf", "main", parts(F.col("n") - F.col("most")).alias("askers"), parts(F.col("n")).alias("holders"))
     leaves, _ = written(leaves, "similar-leaves")
     rows = rows.join(small(leaves, leaves.count()), "leaf")
+    shown = [c for c in (shards if sketches is None else sketches).columns if c not in ("leaf", "least")]
+    if sketches is not None:
+        rows = rows.join(sketches, "least")
     of = lambda n, salt: F.pmod(F.xxhash64("least", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = ["leaf", "least", "w0", "w1", "root"]
+    kept = ["leaf", "least", *shown, "root"]
     asking = rows.where("root <> main").select(*kept, F.lit(True).alias("asks"), of("askers", 1).alias("i"), every("holders").alias("j"))
     held = rows.select(*kept, F.lit(False).alias("asks"), every("askers").alias("i"), of("holders", 2).alias("j"))
-    blocks = asking.unionByName(held).select("least", "w0", "w1", "root", "asks", F.xxhash64("leaf", "i", "j").alias("block"))
+    blocks = asking.unionByName(held).select("least", *shown, "root", "asks", F.xxhash64("leaf", "i", "j").alias("block"))
     count = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(count, "block").sortWithinPartitions("block").mapInArrow(_across, "u long, v long").distinct()
+    return blocks.repartition(count, "block").sortWithinPartitions("block").mapInArrow(across, "u long, v long").distinct()
 
 
 def shingles(text: str | None, width: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -380,9 +450,11 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     """doc_id and component_id of every document that has an id, by shingle similarity."""
     text_batches(df.sparkSession)
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
-    profiles = docs.select("doc_id", F.arrow_udf(_profiles, "struct<key:binary,wide:array<bigint>>").asNondeterministic()(F.col("text")).alias("p")).select("doc_id", "p.*")
+    common, counts = common_shingles(docs)
+    profile = lambda texts: _profiles(texts, similarity, common, counts)
+    profiles = docs.select("doc_id", F.arrow_udf(profile, PROFILE).asNondeterministic()(F.col("text")).alias("p")).select("doc_id", "p.*")
     profiles, _ = written(profiles, "similar-profiles")
-    distinct = profiles.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"))
+    distinct = profiles.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("wide", "n", "odd", "rarest")))
     distinct, _ = written(distinct.where("least is not null"), "similar-distinct")
     block = (1 << WIDE_BLOCK) - 1
     leaves = [leaf(F.col("wide")[w], block << (WIDE_BLOCK * i), 100 + 3 * w + i, 10) for w in range(WIDE) for i in range(3)]
@@ -394,7 +466,10 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     proposed, _ = written(proposed, "similar-proposed")
     close, _ = written(confirmed(proposed, docs, similarity), "similar-close")
     root = roots(close)
-    rest, _ = written(open_pairs(shards, root).join(proposed, ["u", "v"], "left_anti"), "similar-rest")
+    sketches = distinct.select("least", "n", *(F.col("odd")[w].alias(f"o{w}") for w in range(ODD)))
+    possible = partial(_possible, apart=(1 - similarity) / (1 + similarity))
+    missed = open_pairs(distinct.select("least", F.explode("rarest").alias("leaf")), root, 1, possible, sketches)
+    rest, _ = written(missed.join(proposed, ["u", "v"], "left_anti"), "similar-rest")
     if rest.head(1):
         root = roots(close.unionByName(confirmed(rest, docs, similarity)))
     at = distinct.select("key", "least").join(root.select(F.col("u").alias("least"), "v"), "least", "left").select("key", F.coalesce("v", "least").alias("component_id"))
