@@ -245,6 +245,15 @@ def test_differencing_deletes_shared_lines(spark):
     assert pages.extracted(empty(df)).count() == 0
 
 
+def test_differencing_decides_inside_and_outside_of_articles(spark):
+    rows = [(i, f"https://teaser.example/a/{i}", page(f"<article>Teaser for all</article><div>Story {i}</div><p>Body {i}</p><div>All rights reserved</div>")) for i in range(9)]
+    rows += [(100 + i, f"https://inside.example/a/{i}", page(f"<main><p>Please share this</p><p>Long story number {i}</p></main><div>Second {i}</div>")) for i in range(9)]
+    rows += [(200, "https://lone.example/", page("<article>A</article><div>B</div>")), (300, "https://two.example/a", page("<main><p>The same long story</p><p>x</p></main>")), (301, "https://two.example/b", page("<main><p>The same long story</p><p>y</p></main>"))]
+    of = {r["page_id"]: r["text"] for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(of[i] == f"Story {i}\nBody {i}" and of[100 + i] == f"Long story number {i}\nSecond {i}" for i in range(9))
+    assert of[200] == "A\nB" and of[300] == "The same long story\nx" and of[301] == "The same long story\ny"
+
+
 def plain_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

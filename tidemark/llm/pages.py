@@ -1,12 +1,12 @@
-"""Main text of web pages: page structure first, then differencing against the nearest page of the host.
+"""Main text of web pages: differencing against the nearest page of the host.
 
-A page becomes blocks of text. Structure settles most of them: what lies in navigation, headers,
-footers, asides, forms, scripts or elements named as adverts, notices, menus or comments is
-never text, and what lies in an article or main element is always text. A block that structure
-leaves open is settled by differencing: pages are paired by URL path within their host, the
-open lines of both are aligned by longest common subsequence, and lines that both share are
-the template's and go. Pages whose open lines are all the same are copies, not a template: they
-keep theirs.
+A page becomes blocks of text. What lies in navigation, headers, footers, asides, forms, scripts
+or elements named as adverts, notices, menus or comments is never text. Differencing decides the
+rest, inside article and main elements and outside: pages are paired by URL path within their
+host, the lines of both are aligned by longest common subsequence, and lines that both share are
+the template's and go. Pages whose lines are all the same are copies, not a template: they keep
+theirs. A page of which over half is marked by article or main and shared is a version of the
+other's story: it keeps the marked lines. A page with no other on its host keeps all lines.
 
 Hosts of any size: a host with over HOST_PAGES pages is cut by a hash of the path into parts
 that each hold about as many; a page is paired within its part, in order of path, with whichever
@@ -214,19 +214,12 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
     """The text of a page, given the blocks of the page it is paired with."""
-    lines = [s for kind, s in own if kind == OPEN]
-    theirs = [s for kind, s in other or [] if kind == OPEN]
+    lines, theirs = [s for _, s in own], [s for _, s in other or []]
     gone = shared_lines(lines, theirs) if lines and theirs and lines != theirs else set()
-    kept, at = [], -1
-    # Where structure marks the article, what lies outside of it is not the article.
-    marked = any(kind == TEXT for kind, _ in own)
-    for kind, s in own:
-        if kind == OPEN:
-            at += 1
-            if marked or at in gone:
-                continue
-        kept.append(s)
-    return "\n".join(kept)
+    marked = {i for i, (kind, _) in enumerate(own) if kind == TEXT}
+    if 2 * sum(len(lines[i]) for i in marked & gone) > sum(map(len, lines)):
+        gone -= marked
+    return "\n".join(s for i, s in enumerate(lines) if i not in gone)
 
 
 def start_shared(a: str, b: str) -> int:
