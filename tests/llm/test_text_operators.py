@@ -254,6 +254,13 @@ def test_differencing_decides_inside_and_outside_of_articles(spark):
     assert of[200] == "A\nB" and of[300] == "The same long story\nx" and of[301] == "The same long story\ny"
 
 
+def test_nearest_page_is_found_on_hosts_of_any_size(spark):
+    """Each section has its own template line, so a page keeps it if it is paired outside of it."""
+    rows = [(i, f"https://large.example/s{i // 2:04d}/{i % 2}", page(f"<div>Section {i // 2}</div><p>Body {i}</p>")) for i in range(4402)]
+    found = pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()
+    assert len(found) == len(rows) and all(r["text"] == f"Body {r['page_id']}" for r in found)
+
+
 def plain_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

@@ -8,9 +8,9 @@ the template's and go. Pages whose lines are all the same are copies, not a temp
 theirs. A page of which over half is marked by article or main and shared is a version of the
 other's story: it keeps the marked lines. A page with no other on its host keeps all lines.
 
-Hosts of any size: a host with over HOST_PAGES pages is cut by a hash of the path into parts
-that each hold about as many; a page is paired within its part, in order of path, with whichever
-neighbour shares the longer start of the path. Tasks hold three pages at a time.
+Hosts of any size: all pages are cut into ranges in order of host and path, and the first and last
+page of a range are also sent to the neighbouring range; a page is paired with whichever neighbour
+in order of path shares the longer start of the path. Tasks hold three pages at a time.
 
 Defined results: null html is empty; an empty page has the empty text; a null url is of the
 host ''; repeated rows are pages like any other (copies); malformed markup is read as
@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, written
 from .urlrank import host_of, path_of
 
-HOST_PAGES = 2000
+#: Ranges of pages for each shuffle partition.
+RANGES = 4
 #: Aligned lines of one page at most this many squared are compared in the plain table of the
 #: subsequence; longer ones by their unique lines in order first (patience), exact between them.
 TABLE = 4_000_000
@@ -232,12 +233,14 @@ def start_shared(a: str, b: str) -> int:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one part of a host follow each other in order of path; each looks at both neighbours."""
+    """Rows of a range follow each other in order of host and path; each looks at both neighbours.
+
+    Rows of the ranges beside it are only looked at."""
 
     def rows():
         for batch in batches:
-            for key, url, part, path, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield key, url, part, path, json.loads(zlib.decompress(packed))
+            for key, url, to, own, host, path, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield key, url, (to, host), path, json.loads(zlib.decompress(packed)), own
 
     def result(before, row, after) -> str:
         near = [x for x in (before, after) if x and x[2] == row[2]]
@@ -248,7 +251,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: tuple[list, list, list] = ([], [], [])
     held = 0
     for after in _then_none(rows()):
-        if row is not None:
+        if row is not None and row[5]:
             text = result(before, row, after)
             held += len(text)
             for column, value in zip(out, (row[0], row[1], text), strict=True):
@@ -270,18 +273,29 @@ def _batch(out: tuple[list, list, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["page_id", "url", "text"])
 
 
+def ranges(pages: DataFrame, parts: int) -> DataFrame:
+    """One row: the first and last (host, path, page_id) of each range, in order."""
+    cut = pages.select("host", "path", "page_id").repartitionByRange(parts, "host", "path", "page_id").withColumn("range", F.spark_partition_id())
+    key = F.struct("host", "path", "page_id")
+    ends = cut.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last")).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("r"))
+    return ends.select(F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
+
+
 def extracted(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url and main text of every page."""
     text_batches(df.sparkSession)
     keys = df.select(df[page_id].cast("long").alias("page_id"), df[url].alias("url"), host_of(df[url]).alias("host"), path_of(df[url]).alias("path"), df[html].alias("html"))
     pages = keys.withColumn("blocks", F.arrow_udf(_parsed, "binary").asNondeterministic()("html")).drop("html")
-    large = keys.groupBy("host").count().where(F.col("count") > HOST_PAGES)
-    large = large.select("host", F.ceil(F.col("count") / HOST_PAGES).cast("int").alias("parts"))
-    pages = pages.join(large, "host", "left")
-    part = F.xxhash64("host", F.pmod(F.xxhash64("path", "page_id"), F.coalesce("parts", F.lit(1))))
-    pages = pages.select("page_id", "url", part.alias("part"), "path", "blocks")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = pages.repartition(parts, "part").sortWithinPartitions("part", "path", "page_id")
+    bounds, _ = written(ranges(keys, RANGES * parts), "page-ranges")
+    key = F.struct("host", "path", "page_id")
+    pages = pages.crossJoin(F.broadcast(bounds)).withColumn("range", F.size(F.filter("firsts", lambda first: first <= key)))
+    at = F.col("range")
+    ahead = F.when((at > 1) & (key == F.try_element_at("firsts", at)), at - 1)
+    behind = F.when((at < F.size("firsts")) & (key == F.try_element_at("lasts", at)), at + 1)
+    pages = pages.select("page_id", "url", F.explode(F.array_compact(F.array(at, ahead, behind))).alias("to"), "range", "host", "path", "blocks")
+    pages = pages.select("page_id", "url", "to", (F.col("to") == F.col("range")).alias("own"), "host", "path", "blocks")
+    ordered = pages.repartition(parts, "to").sortWithinPartitions("to", "host", "path", "page_id", "blocks")
     return ordered.mapInArrow(_extracted, "page_id long, url string, text string")
 
 
