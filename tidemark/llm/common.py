@@ -56,6 +56,25 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Written tables that are removed as soon as a block of code is left."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        found, path = written(df, label)
+        self.paths.append(path)
+        return found
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            drop_now(self.spark, path)
+
+
 def numbered(df: DataFrame, key: str, order: list[Column | str], name: str, rows_per_block: int = 100_000) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... within each value of ``key``, without a task per key.
 

@@ -32,7 +32,7 @@ texts are read whole; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import Scratch, text_batches, written
 from .components import roots
 
 SEED = 42
@@ -231,246 +231,403 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 #: Words of 64 bits in a wide fingerprint; each has three 21-bit blocks with a tree each.
-WIDE = 8
+WIDE = 4
 WIDE_BLOCK = 21
 #: Of the first 128 bits of two documents at 0.8, about a fifteenth differs.
 COARSE_BITS = 26
-ALL_PAIRS = 64
-#: A leaf of more than ALL_PAIRS rows is searched twice: first so many of each row's nearest, then
-#: all pairs whose rows are still in different groups.
-NEAREST = 4
+#: Leaves of so many rows propose all their close pairs, larger ones those with their middle row.
+ALL_PAIRS = 8
 #: A leaf of more rows is dealt out over parts of about so many.
 LEAF_ROWS = 4096
 BROADCAST_LEAVES = 100_000
-#: Words of 64 bits in an odd sketch.
+#: Ids are broadcast up to this number (about 40 bytes each), and joined by a shuffle beyond it.
+BROADCAST_IDS = 1_000_000
+#: A text that is compared with many is sent once for so many of them.
+MEMBERS = 256
+#: Words of 64 bits in an odd sketch, and in a second one of texts of more than so many shingles.
 ODD = 8
+LONG_ODD = 128
+LONG = 400
 #: One document in so many is read for the common shingles, which are those in COMMON of them or
 #: more, at most MOST_COMMON. They only order the shingles: the links are the same for any.
 SAMPLE = 16
 COMMON = 4
 MOST_COMMON = 100_000
+COMMON_BITS = 22
 
+# Odd multipliers that mix 64 bits.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_FINAL = np.uint64(0xBF58476D1CE4E5B9)
+_known: dict[bytes, int] = {}
 
-def wide_fingerprint(words: list[bytes]) -> list[int]:
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word; words met before are looked up."""
+    try:
+        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        if len(_known) > 1 << 20:
+            _known.clear()
+        _known.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in set(words) if w not in _known)
+        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _FINAL
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_set(own: np.ndarray, width: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The set of shingles of a text, in order, from the hashes of its words; fewer words are one shingle."""
+    if not len(own):
+        return own
+    runs = max(1, len(own) - width + 1)
+    total = np.zeros(runs, np.uint64)
+    for i in range(min(width, len(own))):
+        total += own[i : i + runs] * _MIX[i]
+    return np.unique(_mixed(total + np.uint64(min(width, len(own)))))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_set(word_hashes(_words(text)))
+
+
+def wide_fingerprint(own: np.ndarray) -> list[int]:
     """WIDE independent SimHashes of the set of words."""
-    once = shingle_hashes(sorted(set(words)), 1)
-    out = []
-    for i in range(WIDE):  # a fresh 64-bit mix of the same hashes for each word
-        mixed = once * np.uint64(2 * xxhash.xxh64_intdigest(f"mix{i}", SEED) % (1 << 64) | 1)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        out.append(majority(mixed))
-    return out
-
-
-def odd_sketch(own: np.ndarray) -> list[int]:
+    once = np.unique(own)
+    return [majority(_mixed(once * _MIX[i])) for i in range(WIDE)]
+
+
+def odd_sketch(own: np.ndarray, words: int = ODD) -> list[int]:
     """Bits that are set if an odd number of the shingles falls on them.
 
     Shingles of both sets fall out: two sketches differ in no more bits than their sets in shingles.
     """
-    odd = np.bincount((own & np.uint64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1
+    odd = np.bincount((own & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
-def rarest(own: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, rare ones before common ones: two sets that similar share one.
+def rarest(own: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, common ones last: two sets that similar share one.
 
     They share ``similarity`` of the larger one at least, so not all that they share can come later.
+    ``common`` ranks a shingle by its last COMMON_BITS bits.
     """
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        own = own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")]
-    return own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if len(own) else own
+    if not len(own):
+        return own
+    kept = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+    rank = common[(own & np.uint64((1 << COMMON_BITS) - 1)).astype(np.int64)]
+    return np.concatenate([own[rank == r] for r in range(3)])[:kept] if rank.any() else own[:kept]
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of a sample of the texts, in order, and their counts."""
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """0, 1 or 2 for each value of the last COMMON_BITS bits of a shingle: in few, many and very
+    many texts of a sample."""
     sets = lambda texts: pa.array([shingles(t).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
     found = sample.select(F.explode(F.arrow_udf(sets, "array<bigint>")("text")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
     top = found.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).collect()
-    keys, counts = np.array([r["shingle"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+    rank = np.zeros(1 << COMMON_BITS, np.int8)
+    at = np.array([r["shingle"] for r in top], np.int64) & ((1 << COMMON_BITS) - 1)
+    np.maximum.at(rank, at, np.where(np.array([r["n"] for r in top], np.int64) >= SAMPLE * COMMON, 2, 1).astype(np.int8))
+    return rank
 
 
-PROFILE = "struct<key:binary,wide:array<bigint>,n:bigint,odd:array<bigint>,rarest:array<bigint>>"
+PROFILE = "struct<wide:array<bigint>,n:bigint,odd:array<bigint>,long:array<bigint>,rarest:array<bigint>>"
 
 
-def _profiles(texts: pa.Array, similarity: float, common: np.ndarray, counts: np.ndarray) -> pa.Array:
+def _keys(texts: pa.Array) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_digest(b" ".join(_words(t))) for t in texts.to_pylist()], pa.binary())
+
+
+def _profiles(texts: pa.Array, similarity: float, common: np.ndarray) -> pa.Array:
     rows = []
     for text in texts.to_pylist():
-        words = _words(text)
-        own = shingles(text)
-        first = rarest(own, similarity, common, counts).view(np.int64)
-        rows.append({"key": xxhash.xxh3_128_digest(b" ".join(words)), "wide": wide_fingerprint(words), "n": len(own), "odd": odd_sketch(own), "rarest": first})
+        own = word_hashes(_words(text))
+        found = shingle_set(own)
+        rows.append({"wide": wide_fingerprint(own), "n": len(found), "odd": odd_sketch(found), "long": odd_sketch(found, LONG_ODD) if len(found) > LONG else None, "rarest": rarest(found, similarity, common).view(np.int64)})
     longs = pa.list_(pa.int64())
-    return pa.array(rows, pa.struct([("key", pa.binary()), ("wide", longs), ("n", pa.int64()), ("odd", longs), ("rarest", longs)]))
+    return pa.array(rows, pa.struct([("wide", longs), ("n", pa.int64()), ("odd", longs), ("long", longs), ("rarest", longs)]))
+
+
+def middle(x: np.ndarray, y: np.ndarray) -> int:
+    """The position that is nearest to the majority of all, bit by bit: the vantage point of a leaf."""
+    far = np.zeros(len(x), np.int64)
+    for words in (x, y):
+        bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        usual = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(words), bitorder="little").view(np.uint64)[0]
+        far += np.bitwise_count(words ^ usual)
+    return int(far.argmin())
 
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a leaf that are close in the first 128 bits: all of a small leaf; of a larger one,
-    which is a cluster of copies, each member's nearest (``open_pairs`` takes the rest)."""
+    which is a cluster of copies, those with its middle row (``open_pairs`` takes the rest)."""
+    us, vs, held = [], [], 0
     for shard in grouped(batches, "leaf"):
         ids = shard["least"].to_numpy()
         x, y = shard["w0"].to_numpy().view(np.uint64), shard["w1"].to_numpy().view(np.uint64)
-        n, found = len(ids), []
-        for at in range(0, n, 256):
-            d = np.bitwise_count(x[at : at + 256, None] ^ x) .astype(np.int16) + np.bitwise_count(y[at : at + 256, None] ^ y)
-            i = np.arange(at, min(n, at + 256))
-            d[i[:, None] <= np.arange(n)] = 999  # earlier members only
-            if n > ALL_PAIRS:
-                near = np.argpartition(d, min(NEAREST, n - 1), axis=1)[:, :NEAREST]
-                keep = np.take_along_axis(d, near, axis=1) <= COARSE_BITS
-                a, b = np.repeat(i, near.shape[1])[keep.ravel()], near[keep]
-            else:
-                a, b = np.nonzero(d <= COARSE_BITS)
-                a = a + at
-            found.append(np.stack([a, b], axis=1))
-        pairs = np.concatenate(found)
-        if len(pairs):
-            u, v = ids[pairs[:, 0]], ids[pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        if len(ids) <= ALL_PAIRS:
+            a, b = np.triu_indices(len(ids), 1)
+        else:
+            b = np.arange(len(ids))
+            a = np.full(len(ids), middle(x, y))
+            a, b = a[a != b], b[a != b]
+        close = np.bitwise_count(x[a] ^ x[b]).astype(np.int64) + np.bitwise_count(y[a] ^ y[b]) <= COARSE_BITS
+        u, v = ids[a[close]], ids[b[close]]
+        us.append(np.minimum(u, v))
+        vs.append(np.maximum(u, v))
+        held += len(u)
+        if held > 50_000:
+            yield _pairs(us, vs)
+            us, vs, held = [], [], 0
+    if us:
+        yield _pairs(us, vs)
 
 
-def spread(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def spread(shards: DataFrame, use: Scratch) -> tuple[DataFrame, DataFrame]:
     """Crowded leaves in parts, and the pairs of their rows with the leaf's first row.
 
     A crowded leaf is a cluster of copies: most of its rows are near its first one.
     ``open_pairs`` finds the links that this leaves out.
     """
     first = F.min(F.struct("least", "w0", "w1"))
-    crowded = shards.groupBy("leaf").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") > LEAF_ROWS)
-    crowded, _ = written(crowded, "similar-crowded")
-    few = crowded.count()
-    rows = shards.join(F.broadcast(crowded) if few <= BROADCAST_LEAVES else crowded, "leaf", "left")
+    crowded = use.written(shards.groupBy("leaf").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") > LEAF_ROWS), "similar-crowded")
+    rows = shards.join(_small(crowded, BROADCAST_LEAVES), "leaf", "left")
     apart = F.bit_count(F.col("w0").bitwiseXOR(F.col("first.w0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("first.w1")))
     pairs = rows.where((F.col("least") > F.col("first.least")) & (apart <= COARSE_BITS)).select(F.col("first.least").alias("u"), F.col("least").alias("v"))
     part = F.pmod(F.xxhash64("least"), F.ceil(F.coalesce("n", F.lit(1)) / LEAF_ROWS))
     return rows.select("least", "w0", "w1", F.when(F.col("n").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", part)).alias("leaf")), pairs
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block, an asking row and another of a different group, close in the first 128 bits."""
-    for block in grouped(batches, "block"):
-        ids, root, asks = (block[c].to_numpy() for c in ("least", "root", "asks"))
-        x, y = block["w0"].to_numpy().view(np.uint64), block["w1"].to_numpy().view(np.uint64)
-        asking, held = np.flatnonzero(asks), np.flatnonzero(~asks)
-        for at in range(0, len(asking), 256):
-            i = asking[at : at + 256]
-            d = np.bitwise_count(x[i, None] ^ x[held]).astype(np.int16) + np.bitwise_count(y[i, None] ^ y[held])
-            a, b = np.nonzero((d <= COARSE_BITS) & (root[i, None] != root[held]))
-            if len(a):
-                u, v = ids[i[a]], ids[held[b]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+def likely(pairs: DataFrame, sketches: DataFrame, apart: float) -> DataFrame:
+    """The pairs (u, v) that sizes and sketches do not rule out: their sets may differ in no more
+    than ``apart`` of the sum of their sizes."""
+    of = lambda side: sketches.select(F.col("least").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in sketches.columns if c != "least"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    bits = sum((F.bit_count(F.col(f"u_o{w}").bitwiseXOR(F.col(f"v_o{w}"))) for w in range(ODD)), F.lit(0))
+    differ = F.greatest(bits.cast("long"), F.abs(F.col("u_n") - F.col("v_n")))
+    most = apart * (F.col("u_n") + F.col("v_n")) + 1e-6
+    longer = F.aggregate(F.zip_with("u_long", "v_long", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.where(differ <= most).where(F.coalesce(longer <= most, F.lit(True))).select("u", "v")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by key, cut where the key changes."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        last = batch[key].to_numpy()
+        if last[0] == last[-1] and held[0][key][0].as_py() == last[0]:
+            continue  # one key so far
+        whole = pa.concat_tables(held)
+        cut = len(whole) - int((last == last[-1]).sum())
+        yield whole.slice(0, cut)
+        held = [whole.slice(cut)]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the runs of equal shingles that have two groups or more, from rows sorted by shingle."""
+
+    def of(run: pa.Table) -> pa.RecordBatch:
+        keys, root = run["leaf"].to_numpy(), run["root"].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        differ = np.minimum.reduceat(root, edges) != np.maximum.reduceat(root, edges)
+        kept = np.flatnonzero(np.repeat(differ, np.diff(np.append(edges, len(keys)))))
+        return pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(run["least"].to_numpy()[kept])], ["leaf", "least"])
+
+    for run in whole_runs(batches, "leaf"):
+        yield of(run)
+
+
+#: Pairs that a step of ``_possible`` compares.
+STEP = 1 << 18
+
+
+def _asked(keys: np.ndarray, asks: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (asking, answering) of the rows of one key and different roots, about STEP at a time.
+
+    Rows are in order of their keys and, within one, those that ask come first."""
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(edges[1:], len(keys))
+    run = np.repeat(np.arange(len(edges)), ends - edges)
+    asking = np.flatnonzero(asks)
+    begin = edges[run[asking]] + np.bincount(run[asking], minlength=len(edges))[run[asking]]  # the first that answers
+    sizes = ends[run[asking]] - begin
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < len(asking):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + STEP, "right")) - 1)
+        n = sizes[at:to]
+        i = np.repeat(asking[at:to], n)
+        j = np.arange(int(n.sum())) - np.repeat(total[at:to] - total[at], n) + np.repeat(begin[at:to], n)
+        keep = root[i] != root[j]
+        yield i[keep], j[keep]
+        at = to
 
 
-def _possible(batches: Iterator[pa.RecordBatch], apart: float) -> Iterator[pa.RecordBatch]:
+def _possible(batches: Iterator[pa.RecordBatch], apart: float, best: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of a block, an asking row and another of a different group, whose sets may differ in
-    no more than ``apart`` of the sum of their sizes: by sizes and sketches they cannot be ruled out."""
-    for block in grouped(batches, "block"):
-        ids, root, asks, n = (block[c].to_numpy() for c in ("least", "root", "asks", "n"))
-        odd = [block[f"o{w}"].to_numpy().view(np.uint64) for w in range(ODD)]
-        asking, held = np.flatnonzero(asks), np.flatnonzero(~asks)
-        for at in range(0, len(asking), 256):
-            i = asking[at : at + 256]
-            d = np.abs(n[i, None] - n[held])
-            np.maximum(d, sum(np.bitwise_count(o[i, None] ^ o[held]).astype(np.int64) for o in odd), out=d)
-            a, b = np.nonzero((d <= apart * (n[i, None] + n[held]) + 1e-6) & (root[i, None] != root[held]))
-            if len(a):
-                u, v = ids[i[a]], ids[held[b]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-
-def open_pairs(shards: DataFrame, root: DataFrame, over: int = ALL_PAIRS, across: Callable = _across, sketches: DataFrame | None = None) -> DataFrame:
-    """All close pairs of leaves over ``over`` rows whose rows are in different groups so far.
-
-    ``across`` tells which are close, by the columns w0 and w1 of ``shards`` or those of ``sketches``.
-
-    Rows outside a leaf's largest group ask, all of its rows answer, in blocks of bounded size:
-    a leaf that is one group costs nothing, and one with few strays costs a pass for these.
+    no more than ``apart`` of the sum of their sizes: by sizes and sketches they cannot be ruled out.
+
+    ``best``: of each asking row and other group only the pair that seems nearest; ``more`` tells
+    that there are others.
+    """
+
+    def of(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, ids, root, asks, n = (whole[c].to_numpy() for c in ("block", "least", "root", "asks", "n"))
+        odd = [whole[f"o{w}"].to_numpy().view(np.uint64) for w in range(ODD)]
+        for a, b in _asked(keys, asks, root):
+            sizes = n[a] + n[b]
+            near = np.abs(n[a] - n[b]) <= apart * sizes + 1e-6
+            a, b, sizes = a[near], b[near], sizes[near]
+            d = sum(np.bitwise_count(o[a] ^ o[b]).astype(np.int64) for o in odd)
+            near = d <= apart * sizes + 1e-6
+            a, b, d = a[near], b[near], d[near] / sizes[near]
+            more = np.zeros(len(a), bool)
+            if best and len(a):
+                order = np.lexsort((ids[b], d, root[b], a))
+                a, b = a[order], b[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (root[b[1:]] != root[b[:-1]])]))
+                more = np.diff(np.append(first, len(a))) > 1
+                a, b = a[first], b[first]
+            if len(a):  # the same pair under several shingles is passed on once
+                u, v = ids[a], ids[b]
+                order = np.lexsort((more, v, u))
+                u, v, more = u[order], v[order], more[order]
+                last = np.concatenate([(u[1:] != u[:-1]) | (v[1:] != v[:-1]), [True]])
+                u, v, more = u[last], v[last], more[last]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(u), pa.array(more)], ["u", "v", "asker", "more"])
+
+    for whole in whole_runs(batches, "block"):
+        yield from of(whole)
+
+
+def open_pairs(shared: DataFrame, root: DataFrame, sketches: DataFrame, apart: float, askers: DataFrame | None, use: Scratch) -> DataFrame:
+    """The likely pairs that share a shingle of ``shared`` (leaf, least) and are in different groups so far.
+
+    Without ``askers`` (column asker) of each row and other group only the pair that seems nearest, else
+    all pairs of those rows.
+
+    Rows outside a shingle's largest group ask, all of its rows answer, in blocks of bounded size:
+    a shingle of one group costs nothing, and one with few strays costs a pass for these.
     """
-    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_LEAVES else df
-    large, _ = written(shards.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > over).select("leaf"), "similar-large")
-    rows = shards.join(small(large, large.count()), "leaf")
-    rows = rows.join(root.select(F.col("u").alias("least"), F.col("v").alias("root")), "least", "left").withColumn("root", F.coalesce("root", "least"))
-    rows, _ = written(rows.select(*shards.columns, "root"), "similar-labelled")
+    if askers is not None:
+        askers = _small(askers.select(F.col("asker").alias("least")), BROADCAST_IDS)
+        shared = shared.join(shared.join(askers, "least", "left_semi").select("leaf").distinct(), "leaf", "left_semi")
+    rows = shared.join(root.select(F.col("u").alias("least"), F.col("v").alias("root")), "least", "left").withColumn("root", F.coalesce("root", "least"))
     groups = rows.groupBy("leaf", "root").agg(F.count("*").alias("n"))
-    leaves = groups.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", "n").alias("main"), F.count("*").alias("groups"))
+    leaves = groups.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups"))
     parts = lambda n: F.ceil(n / LEAF_ROWS).cast("long")
     leaves = leaves.where("groups > 1").select("leaf", "main", parts(F.col("n") - F.col("most")).alias("askers"), parts(F.col("n")).alias("holders"))
-    leaves, _ = written(leaves, "similar-leaves")
-    rows = rows.join(small(leaves, leaves.count()), "leaf")
-    shown = [c for c in (shards if sketches is None else sketches).columns if c not in ("leaf", "least")]
-    if sketches is not None:
-        rows = rows.join(sketches, "least")
+    leaves = use.written(leaves, "similar-leaves")
+    rows = rows.join(_small(leaves, BROADCAST_LEAVES), "leaf").join(sketches.drop("long"), "least")
+    shown = [c for c in sketches.columns if c not in ("least", "long")]
     of = lambda n, salt: F.pmod(F.xxhash64("least", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     kept = ["leaf", "least", *shown, "root"]
     asking = rows.where("root <> main").select(*kept, F.lit(True).alias("asks"), of("askers", 1).alias("i"), every("holders").alias("j"))
     held = rows.select(*kept, F.lit(False).alias("asks"), every("askers").alias("i"), of("holders", 2).alias("j"))
     blocks = asking.unionByName(held).select("least", *shown, "root", "asks", F.xxhash64("leaf", "i", "j").alias("block"))
-    count = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(count, "block").sortWithinPartitions("block").mapInArrow(across, "u long, v long").distinct()
-
-
-def shingles(text: str | None, width: int = SIMILAR_SHINGLE) -> np.ndarray:
-    return np.unique(shingle_hashes(_words(text), width))
-
+    count = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ask = partial(_possible, apart=apart, best=askers is None)
+    return blocks.repartition(count, "block").sortWithinPartitions("block", F.desc("asks")).mapInArrow(ask, "u long, v long, asker long, more boolean")
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Similarity of two sets of shingles; two empty ones are equal."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
-
-def _similarities(a: pa.Array, b: pa.Array) -> pa.Array:
-    """A text of several pairs of the batch is hashed once."""
-    sets: dict[str | None, np.ndarray] = {}
-    found = []
-    for pair in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        for text in pair:
-            if text not in sets:
-                sets[text] = shingles(text)
-        found.append(jaccard(sets[pair[0]], sets[pair[1]]))
-    return pa.array(found, pa.float64())
-
-
-def confirmed(proposed: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The proposed pairs (u, v) whose texts are as similar as that."""
-    # Texts of the proposed pairs only, one row per distinct text.
-    asked = proposed.select(F.col("u").alias("doc_id")).unionByName(proposed.select(F.col("v").alias("doc_id"))).distinct()
-    texts, _ = written(docs.join(asked, "doc_id").groupBy("doc_id").agg(F.first("text", True).alias("text")), "similar-texts")
-    pairs = proposed.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    return pairs.where(F.arrow_udf(_similarities, "double")("a", "b") >= similarity).select("u", "v")
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Members of a part that are as similar as that to its centre, which comes first."""
+    part, centre, own = None, None, None
+    for batch in batches:
+        us, vs = [], []
+        for at, first, key, text in zip(*(batch[c].to_pylist() for c in ("part", "first", "doc_id", "text")), strict=True):
+            if at != part or first:
+                part, centre, own = at, key, shingles(text)
+                continue
+            other = shingles(text)
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if both >= similarity * (len(own) + len(other) - both) - 1e-9:
+                us.append(min(centre, key))
+                vs.append(max(centre, key))
+        if us:
+            yield _pairs([np.array(us, np.int64)], [np.array(vs, np.int64)])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, similarity: float, use: Scratch) -> DataFrame:
+    """The pairs (u, v) whose texts are as similar as that; ``docs`` has one row for each id.
+
+    The one of a pair that is in more pairs is a centre. The texts of its partners are sent to it
+    once, its own once for every MEMBERS of them.
+    """
+    pairs = use.written(pairs, "similar-proposed")
+    degree = pairs.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("n"))
+    rows = pairs.join(degree.withColumnRenamed("n", "nu"), "u").join(degree.select(F.col("u").alias("v"), F.col("n").alias("nv")), "v")
+    left = F.col("nu") >= F.col("nv")
+    rows = rows.select(F.when(left, F.col("u")).otherwise(F.col("v")).alias("centre"), F.when(left, F.col("v")).otherwise(F.col("u")).alias("member"), F.greatest("nu", "nv").alias("n"))
+    salt = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / MEMBERS).cast("long"))
+    rows = rows.select("member", "centre", F.xxhash64("centre", salt).alias("part"), F.struct("centre", salt.alias("salt")).alias("key"))
+    sent = rows.select(F.col("member").alias("doc_id"), "key", F.lit(False).alias("first"))
+    sent = use.written(sent.unionByName(rows.select(F.col("centre").alias("doc_id"), "key", F.lit(True).alias("first")).distinct()), "similar-sent")
+    texts = docs.join(_small(sent, BROADCAST_IDS), "doc_id").select(F.xxhash64("key").alias("part"), "key", "first", "doc_id", "text")
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = texts.repartition(count, "part").sortWithinPartitions("part", "key", F.desc("first")).select("part", "first", "doc_id", "text")
+    return use.written(ordered.mapInArrow(partial(_compared, similarity=similarity), "u long, v long").distinct(), "similar-close")
 
 
 def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id of every document that has an id, by shingle similarity."""
+    """doc_id and component_id of every document, by shingle similarity; rows of one id are one document."""
     text_batches(df.sparkSession)
-    docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
-    common, counts = common_shingles(docs)
-    profile = lambda texts: _profiles(texts, similarity, common, counts)
-    profiles = docs.select("doc_id", F.arrow_udf(profile, PROFILE).asNondeterministic()(F.col("text")).alias("p")).select("doc_id", "p.*")
-    profiles, _ = written(profiles, "similar-profiles")
-    distinct = profiles.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("wide", "n", "odd", "rarest")))
-    distinct, _ = written(distinct.where("least is not null"), "similar-distinct")
-    block = (1 << WIDE_BLOCK) - 1
-    leaves = [leaf(F.col("wide")[w], block << (WIDE_BLOCK * i), 100 + 3 * w + i, 10) for w in range(WIDE) for i in range(3)]
-    shards = distinct.select("least", F.col("wide")[0].alias("w0"), F.col("wide")[1].alias("w1"), F.explode(F.array(*leaves)).alias("leaf"))
-    shards, _ = written(shards, "similar-shards")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt, to_first = spread(shards)
-    proposed = dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_proposals, "u long, v long").unionByName(to_first).distinct()
-    proposed, _ = written(proposed, "similar-proposed")
-    close, _ = written(confirmed(proposed, docs, similarity), "similar-close")
-    root = roots(close)
-    sketches = distinct.select("least", "n", *(F.col("odd")[w].alias(f"o{w}") for w in range(ODD)))
-    possible = partial(_possible, apart=(1 - similarity) / (1 + similarity))
-    missed = open_pairs(distinct.select("least", F.explode("rarest").alias("leaf")), root, 1, possible, sketches)
-    rest, _ = written(missed.join(proposed, ["u", "v"], "left_anti"), "similar-rest")
-    if rest.head(1):
-        root = roots(close.unionByName(confirmed(rest, docs, similarity)))
-    at = distinct.select("key", "least").join(root.select(F.col("u").alias("least"), "v"), "least", "left").select("key", F.coalesce("v", "least").alias("component_id"))
-    return profiles.select("doc_id", "key").join(at, "key", "left").select("doc_id", "component_id")
+    spark, apart = df.sparkSession, (1 - similarity) / (1 + similarity)
+    with Scratch(spark) as use:
+        docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
+        keys = use.written(docs.select("doc_id", F.arrow_udf(_keys, "binary")("text").alias("key")), "similar-keys")
+        least = use.written(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "similar-least").where("least is not null")
+        # Copies of a text that comes earlier are profiled no more.
+        copies = use.written(keys.join(least.where("n > 1"), "key").where("doc_id <> least").select("doc_id").distinct(), "similar-copies")
+        few = copies.count() <= BROADCAST_IDS
+        docs = docs.where("doc_id is not null")  # the others take the group of their text
+        once = docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+        common = common_shingles(once)
+        profile = F.arrow_udf(lambda texts: _profiles(texts, similarity, common), PROFILE).asNondeterministic()
+        # Repeated rows of one id are read once; those whose texts differ keep the profile of one of them.
+        profiles = use.written(once.select(F.col("doc_id").alias("least"), profile(F.col("text")).alias("p")).select("least", "p.*"), "similar-profiles")
+        repeated = keys.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("least"))
+        if repeated.head(1):
+            again = profiles.join(repeated, "least", "left_semi").dropDuplicates(["least"])
+            profiles = use.written(profiles.join(repeated, "least", "left_anti").unionByName(again), "similar-profiles-once")
+            once = once.dropDuplicates(["doc_id"])
+        block = (1 << WIDE_BLOCK) - 1
+        leaves = [leaf(F.col("wide")[w], block << (WIDE_BLOCK * i), 100 + 3 * w + i, 10) for w in range(WIDE) for i in range(3)]
+        shards = profiles.select("least", F.col("wide")[0].alias("w0"), F.col("wide")[1].alias("w1"), F.explode(F.array(*leaves)).alias("leaf"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt, to_first = spread(shards, use)
+        proposed = dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_proposals, "u long, v long").unionByName(to_first).distinct()
+        sketches = profiles.select("least", "n", *(F.col("odd")[w].alias(f"o{w}") for w in range(ODD)), "long")
+        close = confirmed(likely(proposed, sketches, apart), once, similarity, use)
+        root = roots(close)
+        labelled = profiles.join(root.select(F.col("u").alias("least"), F.col("v").alias("root")), "least", "left").select("least", F.explode("rarest").alias("leaf"), F.coalesce("root", "least").alias("root"))
+        shared = use.written(labelled.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_open_rows, "leaf long, least long"), "similar-shared")
+        # The nearest of each other group first; then, for rows with others that are in another group still, all.
+        near = use.written(open_pairs(shared, root, sketches, apart, None, use), "similar-near")
+        tested = use.written(likely(near.select("u", "v").distinct(), sketches, apart), "similar-open")
+        close = use.written(close.unionByName(confirmed(tested, once, similarity, use)), "similar-links")
+        root = roots(close)
+        askers = use.written(near.where("more").select("asker").distinct(), "similar-askers")
+        if askers.head(1):
+            rest = open_pairs(shared, root, sketches, apart, askers, use).select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
+            rest = use.written(likely(rest, sketches, apart), "similar-rest")
+            root = roots(close.unionByName(confirmed(rest, once, similarity, use)))
+        at = least.join(root.select(F.col("u").alias("least"), "v"), "least", "left").select("key", F.coalesce("v", "least").alias("component_id"))
+        return written(keys.join(at, "key", "left").select("doc_id", "component_id"), "similar-groups")[0]
