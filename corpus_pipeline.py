@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    groups, _ = written(simhash.similar(docs), "near-groups")
+    groups = simhash.similar(docs)
     kept = without(docs, groups.where("doc_id <> component_id"))
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
     if not repeated.head(1):
