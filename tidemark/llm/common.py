@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,20 @@ class Scratch:
             drop_now(self.spark, path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str, label: str) -> Iterator[DataFrame]:
+    """``df`` written once into the shared folder, in buckets of ``key``: what is grouped by that key is not shuffled again."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    path, count = f"{scratch(spark)}/{name}", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drop_on_exit(spark, path)
+    df.write.bucketBy(count, key).option("path", path).format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        drop_now(spark, path)
+
+
 def numbered(df: DataFrame, key: str, order: list[Column | str], name: str, rows_per_block: int = 100_000) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... within each value of ``key``, without a task per key.
 

@@ -29,13 +29,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .common import text_batches, written
+from .common import Scratch, bucketed, text_batches, written
 
 ORDER = 4
 CHUNK_CHARS = 8 << 20
 #: Trusted ids are broadcast up to this number (16 bytes each), and joined by a shuffle beyond it.
 BROADCAST_IDS = 2_000_000
 LOW, HIGH = 0.001, 0.999
+#: Log-probabilities are whole numbers of this step, so that sums and quantiles are the same
+#: however the rows are dealt.
+STEP = 2.0**-20
 #: Bands of lengths start at so many characters.
 BANDS = (64, 256)
 #: Logarithms of perplexity may pass the quantiles by this much.
@@ -141,14 +144,14 @@ def _scored(docs: pa.Table, scores: pa.Table) -> pa.Table:
         texts, sums, sizes = rows.column(1).to_pylist(), [], []
         for some in slices(texts):
             found, size = grams(some)
-            p = logs[np.searchsorted(keys, found)] if len(keys) else np.full(len(found), np.nan)
-            ends = np.concatenate([[0.0], np.cumsum(p)])[np.concatenate([[0], np.cumsum(size)])]
+            p = logs[np.searchsorted(keys, found)] if len(keys) else np.zeros(len(found), np.int64)
+            ends = np.concatenate([[0], np.cumsum(p)])[np.concatenate([[0], np.cumsum(size)])]
             sums.append(np.diff(ends))
             sizes.append(size)
-        sums, sizes = np.concatenate([np.empty(0), *sums]), np.concatenate([np.empty(0, np.int64), *sizes])
-        with np.errstate(all="ignore"):
-            mean = np.where(sizes > 0, -sums / np.maximum(sizes, 1), np.nan)
-        out.append(pa.table({"doc_id": rows.column(0), "lang": pa.array([docs["lang"][0].as_py()] * len(texts)), "trusted": rows.column(2), "n": pa.array(sizes), "surprisal": pa.array(mean, mask=np.isnan(mean))}))
+        sums, sizes = np.concatenate([np.empty(0, np.int64), *sums]), np.concatenate([np.empty(0, np.int64), *sizes])
+        mean = -sums / np.maximum(sizes, 1) * STEP
+        unknown = (sizes == 0) | (len(keys) == 0)
+        out.append(pa.table({"doc_id": rows.column(0), "lang": pa.array([docs["lang"][0].as_py()] * len(texts)), "trusted": rows.column(2), "n": pa.array(sizes), "surprisal": pa.array(mean, mask=unknown)}))
     return pa.concat_tables(out)
 
 
@@ -163,22 +166,25 @@ def _discounts(counts: DataFrame) -> DataFrame:
 def _order(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, gram, own) and (lang, hist, gamma): the discounted share of a gram in its history,
     and the mass that the history leaves to the lower order."""
-    found = counts.join(F.broadcast(_discounts(counts)), "lang")  # one row per language
-    cut = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d1"))
-    found = found.withColumn("cut", F.least(cut, F.col("c").cast("double"))).withColumn("hist", F.shiftrightunsigned("gram", 16))
-    hist = found.groupBy("lang", "hist").agg(F.sum("c").cast("double").alias("total"), F.sum("cut").alias("left"))
+    found = counts.join(F.broadcast(_discounts(counts)), "lang").withColumn("hist", F.shiftrightunsigned("gram", 16))  # one row per language
+    cuts = [F.least(F.col(f"d{i}"), F.lit(float(i))) for i in (1, 2, 3)]
+    cut = F.when(F.col("c") >= 3, cuts[2]).when(F.col("c") == 2, cuts[1]).otherwise(cuts[0])
+    # Whole numbers are summed: the result does not depend on the order of the rows.
+    of = [F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") >= 3)]
+    hist = found.groupBy("lang", "hist", "d1", "d2", "d3").agg(F.sum("c").cast("double").alias("total"), *(n.alias(f"k{i}") for i, n in zip((1, 2, 3), of, strict=True)))
+    left = sum((F.col(f"k{i}") * c for i, c in zip((1, 2, 3), cuts, strict=True)), F.lit(0.0))
     total = F.sum("c").over(W.partitionBy("lang", "hist"))  # a history has at most one row for each character
-    own = found.select("lang", "gram", ((F.col("c") - F.col("cut")) / total).alias("own"))
-    return own, hist.select("lang", "hist", (F.col("left") / F.col("total")).alias("gamma"))
+    own = found.select("lang", "gram", ((F.col("c") - cut) / total).alias("own"))
+    return own, hist.select("lang", "hist", (left / F.col("total")).alias("gamma"))
 
 
-def scored_grams(counts: DataFrame, asked: DataFrame) -> DataFrame:
-    """lang, gram, logp of every asked four-gram whose language has counts."""
+def scored_grams(counts: DataFrame, asked: DataFrame, use: Scratch) -> DataFrame:
+    """lang, gram, logp (in steps) of every asked four-gram whose language has counts."""
     mask = lambda order: F.col("gram").bitwiseAND(F.lit((1 << (16 * order)) - 1).cast("long"))
     orders = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):  # continuation counts: in how many contexts a gram is seen
         lower = orders[order + 1].select("lang", mask(order).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
-        orders[order] = written(lower, "quality-counts")[0]
+        orders[order] = use.written(lower, "quality-counts")
     words = orders[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p"))  # one row per language
     rows = asked.join(F.broadcast(words), "lang")
     for order in range(1, ORDER + 1):
@@ -188,38 +194,52 @@ def scored_grams(counts: DataFrame, asked: DataFrame) -> DataFrame:
         rows = rows.join(hist.select("lang", F.col("hist").alias("_h"), "gamma"), ["lang", "_h"], "left")
         # An unseen history leaves all its mass to the lower order.
         rows = rows.select("lang", "gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p"))
-    return rows.select("lang", "gram", F.log("p").alias("logp"))
+    return rows.select("lang", "gram", F.round(F.log("p") / STEP).cast("long").alias("logp"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, trusted, n (characters), surprisal (mean negative log probability of a character) of each document."""
     text_batches(docs.sparkSession)
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(labels["doc_id"].cast("long").alias("doc_id"))
-    good = good.join(labels.where("quality = 0 or toxic = 1").select("doc_id"), "doc_id", "left_anti").distinct().withColumn("trusted", F.lit(True))
-    good, _ = written(good, "quality-trusted")
-    few = good.count() <= BROADCAST_IDS
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    rows = rows.join(F.broadcast(good) if few else good, "doc_id", "left").select("doc_id", "text", "lang", "trusted")
-    # Many small partitions would make many small chunks, which repeat each other's grams; a task
-    # with text for several chunks fills those of each language.
-    chars = docs.agg(F.sum(F.char_length("text"))).head()[0] or 0
-    rows = rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // (4 * CHUNK_CHARS))))
-    chunks, _ = written(rows.mapInArrow(_chunked, "chunk long, lang string, docs binary"), "quality-chunks")
-    chunk_schema = "chunk long, lang string, gram long, n long"
-    counts = chunks.mapInArrow(_chunk_counts(True), chunk_schema).groupBy("lang", "gram").agg(F.sum("n").alias("c"))
-    counts, _ = written(counts, "quality-counts")
-    held = chunks.mapInArrow(_chunk_counts(False), chunk_schema).select("chunk", "lang", "gram")
-    held, _ = written(held, "quality-grams")
-    scores, _ = written(scored_grams(counts, held.select("lang", "gram").distinct()), "quality-scores")
-    back = held.join(scores, ["lang", "gram"]).select("chunk", "gram", "logp")
-    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_scored, "doc_id long, lang string, trusted boolean, n long, surprisal double")
+    spark = docs.sparkSession
+    with Scratch(spark) as use:
+        good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(labels["doc_id"].cast("long").alias("doc_id"))
+        good = good.join(labels.where("quality = 0 or toxic = 1").select("doc_id"), "doc_id", "left_anti").distinct().withColumn("trusted", F.lit(True))
+        good = use.written(good, "quality-trusted")
+        few = good.count() <= BROADCAST_IDS
+        rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
+        rows = rows.join(F.broadcast(good) if few else good, "doc_id", "left").select("doc_id", "text", "lang", "trusted")
+        # Many small partitions would make many small chunks, which repeat each other's grams; a task
+        # with text for several chunks fills those of each language.
+        chars = docs.agg(F.sum(F.char_length("text"))).head()[0] or 0
+        rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-chars // (4 * CHUNK_CHARS))))
+        # Buckets by chunk: the texts lie where their scores will come, and are never shuffled.
+        with bucketed(rows.mapInArrow(_chunked, "chunk long, lang string, docs binary"), "chunk", "quality_chunks") as chunks:
+            chunk_schema = "chunk long, lang string, gram long, n long"
+            counts = chunks.mapInArrow(_chunk_counts(True), chunk_schema).groupBy("lang", "gram").agg(F.sum("n").alias("c"))
+            counts = use.written(counts, "quality-counts")
+            held = use.written(chunks.mapInArrow(_chunk_counts(False), chunk_schema).select("chunk", "lang", "gram"), "quality-grams")
+            scores = use.written(scored_grams(counts, held.select("lang", "gram").distinct(), use), "quality-scores")
+            back = held.join(scores, ["lang", "gram"]).select("chunk", "gram", "logp")
+            found = chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_scored, "doc_id long, lang string, trusted boolean, n long, surprisal double")
+            return written(found, "quality-surprisal")[0]
+
+
+def quantiles(rows: DataFrame, low: float, high: float) -> DataFrame:
+    """lang, band, low and high: exact quantiles of the surprisals of trusted rows, in steps of a ten-thousandth."""
+    step = F.floor(F.col("surprisal") * 10_000).cast("long")
+    counts = rows.where("trusted and surprisal is not null").groupBy("lang", "band", step.alias("step")).agg(F.count("*").alias("n"))
+    order = W.partitionBy("lang", "band").orderBy("step")  # surprisals of a character are under 50: at most so many thousand steps
+    counts = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(W.partitionBy("lang", "band")))
+    return counts.groupBy("lang", "band").agg(
+        *[F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(q * F.col("all"))), F.col("step"))).cast("double").__truediv__(10_000).alias(n) for n, q in (("low", low), ("high", high))]
+    )
 
 
 def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, perplexity and keep of every document."""
     band = sum((F.when(F.col("n") >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
-    rows, _ = written(perplexities(docs, labels).withColumn("band", band), "quality-surprisal")
-    bounds = rows.where("trusted").groupBy("lang", "band").agg(*[F.percentile_approx("surprisal", q, 10_000).alias(n) for n, q in (("low", low), ("high", high))])
+    rows = perplexities(docs, labels).withColumn("band", band)
+    bounds = quantiles(rows, low, high)
     inside = F.col("surprisal").between(F.col("low") - margin, F.col("high") + margin)
     return rows.join(F.broadcast(bounds), ["lang", "band"], "left").select(  # one row per language and band
         "doc_id", "lang", F.exp("surprisal").alias("perplexity"), F.coalesce(inside, F.lit(True)).alias("keep")
