@@ -61,11 +61,12 @@ def test_topk_beyond_doubles(spark):
     assert sorted(map(tuple, found)) == [(0, 1, 11, 2**30 * (2**30 + 11) + 1), (0, 2, 10, 2**30 * (2**30 + 10) + 1)]
 
 
-def test_ann_recall_and_scores(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_ann_recall_and_scores(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
     whole = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in df.collect() if r["embedding"]}
     rows = list(whole.items())
-    found = ann.op6_ann(spark, SF).collect()
+    found = ann.op6_ann(spark, sf).collect()
     ids = np.array([i for i, _ in rows])
     table = np.stack([v for _, v in rows])
     hits = total = 0
@@ -92,12 +93,43 @@ def test_ann_edges(spark, fixture_rows):
     assert ann.neighbours(df.where("1 = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_equal_vectors_have_equal_scores_in_every_part(spark, monkeypatch):
+    """Equal vectors spread over parts of a list tie to the last bit, whatever else is in their part."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    rng = np.random.default_rng(11)
+    same = [float(np.float32(x)) for x in rng.standard_normal(64)]
+    rows = [(i, same) for i in range(0, 300, 3)] + [(i, [float(np.float32(x)) for x in rng.standard_normal(64)]) for i in range(300) if i % 3]
+    found = ann.neighbours(vectors(spark, rows), F.col("vec_id") == 60, recall=1.0).collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == [i for i in range(0, 300, 3) if i != 60][:20]
+    assert len({r["score"] for r in found}) == 1
+
+
+def test_probes_follow_the_data():
+    """Clusters need few lists, and a smaller share of them with more rows; noise needs many."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((40, 16)) * 8
+    clustered = np.repeat(centre, 50, axis=0) + rng.standard_normal((2000, 16)) * 0.1
+    noise = rng.standard_normal((2000, 16))
+    share = lambda rows: ann.probes(rows, ann.centres(rows, 40), len(rows), 20) / 40
+    assert share(clustered) <= 0.2 < 0.4 <= share(noise)
+
+
+def test_repeated_ids_and_other_widths(spark):
+    """Rows of one id are one vector, the smallest; vectors of an unusual width take no part."""
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [0.5, 9.0]), (2, [1.5, 0.0]), (3, [5.0, 5.0, 5.0])]
+    for found in (ann.neighbours(vectors(spark, rows), F.col("vec_id") == 0).collect(), topk.topk(vectors(spark, rows), F.col("vec_id") == 0, scale=2).collect()):
+        assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] in ([(2, 1.5), (1, 0.5)], [(2, 6), (1, 2)])
+
+
 def test_dimension_tests_keep_the_best():
     rng = np.random.default_rng(3)
     rows, q = rng.standard_normal((2000, 64)), rng.standard_normal(64)
     scores = rows @ q
     bound = np.sort(scores)[-20]
-    alive = set(ann.scan(q, bound, rows, (rows**2).sum(1)).tolist())
+    other = rng.standard_normal(64)
+    asked, found = ann.scan(np.stack([other, q]), np.array([np.inf, bound]), rows, (rows**2).sum(1))
+    alive = set(found[asked == 1].tolist())
+    assert not (asked == 0).any()
     assert len(set(np.flatnonzero(scores >= bound).tolist()) - alive) <= 1 and len(alive) < 1500
 
 

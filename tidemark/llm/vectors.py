@@ -26,7 +26,10 @@ def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     rows = rows.where(~F.exists("vec", odd))
     if not zero:
         rows = rows.where(F.exists("vec", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    # Only ids are shuffled, and the vectors of those ids alone that repeat.
+    repeated = rows.groupBy("vec_id").count().where("count > 1").select("vec_id")
+    again = rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return rows.join(repeated, "vec_id", "left_anti").unionByName(again) if repeated.head(1) else rows
 
 
 def width(rows: DataFrame) -> int:
