@@ -315,7 +315,6 @@ def test_packing_loses_and_pads_nothing(spark, corpus):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary_path(PACKING_VOCABULARY))
-    tok.encode_special_tokens = True
     rows = packing.op5_packing(spark, "/root/testdata/sf0.001").collect()
     expected = {r["doc_id"]: np.array(tok.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4") for r in corpus.collect()}
     pieces = defaultdict(list)
@@ -340,7 +339,29 @@ def test_packing_loses_and_pads_nothing(spark, corpus):
     steps = defaultdict(set)
     for r in rows:
         steps[r["step_group"]].add((r["sequence_id"], r["tier"]))
-    assert all(sum(t for _, t in own) <= packing.STEP_TOKENS for own in steps.values())
+    totals = defaultdict(list)
+    for step in sorted(steps):
+        totals[step % 4].append(sum(t for _, t in steps[step]))
+    assert all(t == packing.STEP_TOKENS for stream in range(3) for t in totals[stream][:-1]) and all(t <= packing.STEP_TOKENS + 512 for own in totals.values() for t in own)
+
+
+def test_step_groups_span_partitions_and_added_tokens_are_found(spark):
+    import tokenizers
+
+    rows = [(i, f"a <|endoftext|> b{i} " * (8 + 8 * (i % 40))) for i in range(300)]
+    found = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(9), step_tokens=4096).collect()
+    tok = tokenizers.Tokenizer.from_file(vocabulary_path(PACKING_VOCABULARY))
+    assert {r["doc_id"]: r["doc_tokens"] for r in found} == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    whole = {i: np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4") for i, t in rows}
+    assert all(r["ids_crc32"] == zlib.crc32(whole[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in found)
+    windows = {(r["step_group"], r["sequence_id"], r["tier"]) for r in found}
+    assert len({s for _, s, t in windows if t == 1024}) > 9  # of several partitions
+    totals = Counter()
+    for step, _, tier in windows:
+        totals[step] += tier
+    for stream in range(3):
+        own = [totals[s] for s in sorted(totals) if s % 4 == stream]
+        assert all(t == 4096 for t in own[:-1])
 
 
 def test_packing_edges(docs):

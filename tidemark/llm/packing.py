@@ -4,9 +4,11 @@ Documents are routed to context-size tiers, each tier is packed best-fit, the ga
 long windows are filled from the shorter tiers (cutting the last piece to fit), and the
 windows of one tier are dealt to step groups that hold equally many tokens.
 
-Everything happens inside one pass over each input partition: no shuffle, and the memory
-of a task is one Arrow batch plus less than one window carried over per tier. What is left
-at the end of a partition is cut at powers of two, so that no window needs padding.
+Packing happens inside one pass over each input partition: no text or id is shuffled, and the
+memory of a task is one Arrow batch plus less than one window carried over per tier. What is left
+at the end of a partition is cut at powers of two, so that no window needs padding. Step groups
+span partitions: the windows of a tier are numbered by prefix sums over the partitions' counts,
+and only the last group of a tier is not full; the small windows that end partitions share groups.
 
 Defined results: a null text counts as empty; an empty text is the terminator alone;
 repeated rows are packed as often as they appear; null ids are kept; an empty table gives
@@ -22,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, written
 from .tokenizers import PACKING_VOCABULARY, encoding, vocabulary_path
 
 WINDOW = 1024
@@ -33,19 +37,22 @@ TERMINATOR = 0
 STEP_TOKENS = 64 * 1024
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-_ARROW = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in (c.split()[0] for c in SCHEMA.split(", "))])
+#: As packed: ``ahead`` counts the tokens of earlier windows of the partition's stream, a tier's or that of the ends.
+_PACKED = SCHEMA.replace("step_group long", "part long, stream long, ahead long")
+_ARROW = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in (c.split()[0] for c in _PACKED.split(", "))])
+#: Rows of counts, one for each partition and tier, are broadcast up to this number (about 40 bytes each).
+BROADCAST_COUNTS = 1_000_000
 
 
 class Packer:
     """Packs the documents of one partition. ``items`` keeps, by length, what waits for a window."""
 
-    def __init__(self, base: int, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
-        self.base, self.window, self.tiers, self.step_tokens = base, window, tiers, step_tokens
+    def __init__(self, number: int, window: int = WINDOW, tiers: tuple[int, ...] = TIERS):
+        self.number, self.window, self.tiers = number, window, tiers
         self.items: dict[int, list] = {}
         self.lengths = 0  # bit n is set if a piece of n tokens waits
         self.sequences = 0
-        self.steps = 0
-        self.open_steps: dict[int, tuple[int, int]] = {}  # tier -> (step group, windows still free)
+        self.tokens = [0] * (len(tiers) + 1)  # in windows of each tier, and in those that end the partition
         self.rows: list[tuple] = []
 
     # A piece is (doc_id, doc_tokens, start, ids).
@@ -131,15 +138,12 @@ class Packer:
                 total -= size
 
     def emit(self, window: list[tuple], tier: int) -> None:
-        step, free = self.open_steps.get(tier, (0, 0))
-        if not free:
-            step, free = self.base + self.steps, max(1, self.step_tokens // tier)
-            self.steps += 1
-        self.open_steps[tier] = step, free - 1
-        sequence, offset = self.base + self.sequences, 0
+        stream = self.tiers.index(tier) if tier in self.tiers else len(self.tiers)
+        ahead, sequence, offset = self.tokens[stream], (self.number << 33) + self.sequences, 0
+        self.tokens[stream] += tier
         self.sequences += 1
         for doc_id, doc_tokens, start, ids in window:
-            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), doc_tokens, sequence, offset, tier, step))
+            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), doc_tokens, sequence, offset, tier, self.number, stream, ahead))
             offset += len(ids)
 
     def drained(self) -> pa.RecordBatch | None:
@@ -159,10 +163,10 @@ def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path).encode_to_numpy
-        packer = Packer(TaskContext.get().partitionId() << 33, window, tiers, step_tokens)
+        packer = Packer(TaskContext.get().partitionId(), window, tiers)
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(body, disallowed_special=()) if body else np.empty(0, "<u4"), TERMINATOR).astype("<u4", copy=False)
+                ids = np.append(encode(body, allowed_special="all") if body else np.empty(0, "<u4"), TERMINATOR).astype("<u4", copy=False)
                 packer.put((key, len(ids), 0, ids))
             packer.pack()
             if (out := packer.drained()) is not None:
@@ -171,7 +175,15 @@ def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
         if (out := packer.drained()) is not None:
             yield out
 
-    return df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text")).mapInArrow(run, SCHEMA)
+    pieces = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text")).mapInArrow(run, _PACKED)
+    pieces, _ = written(pieces, "packing-pieces")
+    counts = pieces.groupBy("part", "stream").agg(F.max(F.col("ahead") + F.col("tier")).alias("tokens"))
+    before = W.partitionBy("stream").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts, _ = written(counts.select("part", "stream", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before")), "packing-counts")
+    few = counts.count() <= BROADCAST_COUNTS
+    step = F.floor((F.col("before") + F.col("ahead")) / step_tokens) * (len(tiers) + 1) + F.col("stream")
+    rows = pieces.join(F.broadcast(counts) if few else counts, ["part", "stream"]).withColumn("step_group", step.cast("long"))
+    return rows.select(*(c.split()[0] for c in SCHEMA.split(", ")))
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -37,9 +37,18 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {i: bytes(back[ch] for ch in t) for t, i in spec["model"]["vocab"].items() if t not in special}
 
 
+@lru_cache(4)
+def added_tokens(path: str) -> dict[str, int]:
+    """text -> id of the tokens that a JSON vocabulary finds in texts before anything else."""
+    if path.endswith(".tiktoken"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 @lru_cache(4)
 def encoding(path: str) -> tiktoken.Encoding:
     """The encoder of one worker process. In these vocabularies the id is the merge rank,
-    so a JSON vocabulary and its rank file give the same ids."""
+    so a JSON vocabulary and its rank file give the same ids, but for added tokens."""
     ranks = {t: i for i, t in token_bytes(path).items()}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
