@@ -13,7 +13,7 @@ POINTS = {
 }
 THRESHOLD = 40
 PRICE_TOLERANCE = 0.15
-FILLER = ("per", "the", "a", "of", "for", "and", "in", "to")
+FILLER = ("plan", "tier", "the", "a", "an", "billed", "monthly", "annually")
 
 
 def differs(a: Column, b: Column) -> Column:
@@ -33,10 +33,19 @@ def normal_name(c: Column) -> Column:
 
 
 def normal_metric(c: Column) -> Column:
-    """A rate's metric as its singular words, without filler."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " +"), lambda w: ~w.isin(*FILLER) & (w != ""))
-    singular = lambda w: F.when((F.length(w) > 3) & w.endswith("s"), F.expr("null")).otherwise(w)
-    return F.array_join(F.transform(words, lambda w: F.coalesce(singular(w), F.regexp_replace(w, "s$", ""))), " ")
+    """A rate's metric as its words without filler; words of over three letters lose a last s."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: ~w.isin(*FILLER) & (w != ""))
+    return F.array_join(F.transform(words, lambda w: F.regexp_replace(w, "^(.{3,})s$", "$1")), " ")
+
+
+def json_text(c: Column) -> Column:
+    """A string as JSON, null as null."""
+    safe = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.coalesce(F.concat(F.lit('"'), safe, F.lit('"')), F.lit("null"))
+
+
+def json_number(c: Column) -> Column:
+    return F.coalesce(number_text(c), F.lit("null"))
 
 
 def slug(c: Column) -> Column:
@@ -55,7 +64,7 @@ def materiality(kind: Column, before: Column, after: Column, before_text: Column
     base = F.coalesce(F.create_map(*[F.lit(x) for kv in POINTS.items() for x in kv])[kind], F.lit(0))
     percent = F.floor(F.abs((after - before) / before * 100) + 0.5)
     price = F.when(before.isNull() | after.isNull(), 35).when(before == 0, 80).otherwise(F.least(F.lit(100), 80 + F.least(F.lit(20), percent)))
-    unknown = before_text.isNull() | after_text.isNull() | (before_text == "unknown") | (after_text == "unknown")
+    unknown = before_text.isin('"unknown"', "null") | after_text.isin('"unknown"', "null")
     return F.when(kind == "price_changed", price).when((kind == "billing_unit_changed") & unknown, 35).otherwise(base).cast("int")
 
 

@@ -1,6 +1,7 @@
-"""Identity of tiers and rates across two states, in stages; every stage is a join on the pair's key.
+"""Identity of tiers and rates across two states, in stages.
 
-Greedy first-fit on an equality key pairs the k-th with the k-th, so a stage joins on (pair, key, k).
+Both sides of a pair lie in one table, dealt by pair once; every stage is a window inside the pair,
+so no stage shuffles again. Greedy first-fit on an equality key pairs the k-th with the k-th.
 """
 
 from __future__ import annotations
@@ -12,50 +13,61 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import normal_metric, normal_name, prices_close
 
 
-def _stage(before: DataFrame, after: DataFrame, key: Column, how: str) -> DataFrame:
-    def keyed(rows: DataFrame, side: str) -> DataFrame:
-        rows = rows.withColumn("key", key)
-        return rows.select("pair_id", "key", F.row_number().over(W.partitionBy("pair_id", "key").orderBy("ord")).alias("kth"), F.col("ord").alias(f"{side}_ord"))
+def _both(before: DataFrame, after: DataFrame, fields: list[str]) -> DataFrame:
+    side = lambda rows, s: rows.select("pair_id", "ord", F.lit(s).alias("side"), F.struct("ord", *fields).alias("row"))
+    return side(before, 0).unionByName(side(after, 1)).repartition("pair_id").withColumns({"how": F.lit(None).cast("string"), "other": F.lit(None).cast(_type(before, ["ord", *fields]))})
 
-    return keyed(before, "before").join(keyed(after, "after"), ["pair_id", "key", "kth"]).select("pair_id", "before_ord", "after_ord", F.lit(how).alias("how"))
 
+def _type(rows: DataFrame, fields: list[str]):
+    return rows.select(F.struct(*fields).alias("row")).schema["row"].dataType
 
-def _rest(rows: DataFrame, matched: DataFrame, side: str) -> DataFrame:
-    return rows.join(matched.select("pair_id", F.col(f"{side}_ord").alias("ord")), ["pair_id", "ord"], "left_anti")
 
+def _met(rows: DataFrame, group: list, how: str, when: Column | None = None) -> DataFrame:
+    """Rows that are still open take the row of the other side in their group as ``other``."""
+    of = W.partitionBy("pair_id", F.col("how").isNull(), *group)
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("row"))).over(of)
+    rows = rows.withColumns({"_b": side(0), "_a": side(1)})
+    found = F.col("how").isNull() & F.col("_b").isNotNull() & F.col("_a").isNotNull()
+    if when is not None:
+        found = found & F.coalesce(when, F.lit(False))
+    other = F.when(found, F.when(F.col("side") == 0, F.col("_a")).otherwise(F.col("_b"))).otherwise(F.col("other"))
+    return rows.withColumns({"other": other, "how": F.when(found, how).otherwise(F.col("how"))}).drop("_b", "_a")
 
-def match_tiers(before: DataFrame, after: DataFrame) -> DataFrame:
-    """pair_id, before_ord, after_ord, how. Both sides have pair_id, ord, name, monthly."""
-    exact = _stage(before, after, F.col("name"), "exact")
-    before_2, after_2 = _rest(before, exact, "before"), _rest(after, exact, "after")
-    normal = _stage(before_2, after_2, normal_name(F.col("name")), "normalized")
-    before_3, after_3 = _rest(before_2, normal, "before"), _rest(after_2, normal, "after")
-    near = prices_close(F.col("b.monthly"), F.col("a.monthly"))
-    same_place = before_3.alias("b").join(after_3.alias("a"), (F.col("b.pair_id") == F.col("a.pair_id")) & (F.col("b.ord") == F.col("a.ord")) & near)
-    placed = same_place.select(F.col("b.pair_id").alias("pair_id"), F.col("b.ord").alias("before_ord"), F.col("a.ord").alias("after_ord"), F.lit("positional").alias("how"))
-    none = F.lit(None).cast("int")
-    removed = _rest(before_3, placed, "before").select("pair_id", F.col("ord").alias("before_ord"), none.alias("after_ord"), F.lit("removed").alias("how"))
-    added = _rest(after_3, placed, "after").select("pair_id", none.alias("before_ord"), F.col("ord").alias("after_ord"), F.lit("added").alias("how"))
-    return exact.unionByName(normal).unionByName(placed).unionByName(removed).unionByName(added)
 
+def _stage(rows: DataFrame, key: Column, how: str) -> DataFrame:
+    """The k-th open row of a key on one side meets the k-th on the other."""
+    order = W.partitionBy("pair_id", F.col("how").isNull(), "key", "side").orderBy("ord")
+    rows = rows.withColumn("key", key).withColumn("kth", F.row_number().over(order))
+    return _met(rows, ["key", "kth"], how).drop("key", "kth")
 
-def match_rates(before: DataFrame, after: DataFrame) -> DataFrame:
-    """pair_id, before_metric, after_metric, before_price, after_price, how. A normalized metric
-    matches only where it is the only one of its kind on both sides."""
 
-    def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("pair_id", F.col("metric").alias(f"{s}_metric"), F.col("unit_price").alias(f"{s}_price"))
+def _matches(rows: DataFrame) -> DataFrame:
+    """One row per match, or per row that has none: pair_id, how, before and after (structs)."""
+    first = F.col("side") == 0
+    alone = F.when(first, "removed").otherwise("added")
+    return rows.where(F.col("how").isNull() | first).select(
+        "pair_id", F.coalesce("how", alone).alias("how"), F.when(first, F.col("row")).alias("before"), F.when(first, F.col("other")).otherwise(F.col("row")).alias("after")
+    )
+
 
-    b, a = side(before, "before"), side(after, "after")
-    exact = b.join(a, (b["pair_id"] == a["pair_id"]) & (F.col("before_metric") == F.col("after_metric"))).drop(a["pair_id"]).withColumn("how", F.lit("exact"))
-    b = b.join(exact.select("pair_id", "before_metric"), ["pair_id", "before_metric"], "left_anti")
-    a = a.join(exact.select("pair_id", "after_metric"), ["pair_id", "after_metric"], "left_anti")
+def match_tiers(before: DataFrame, after: DataFrame, fields: tuple[str, ...] = ("name", "monthly")) -> DataFrame:
+    """pair_id, how (exact, normalized, positional, removed or added), before and after: structs of ord and ``fields``.
 
-    def sole(rows: DataFrame, s: str) -> DataFrame:
-        keyed = rows.withColumn("key", normal_metric(F.col(f"{s}_metric")))
-        return keyed.withColumn("n", F.count("*").over(W.partitionBy("pair_id", "key"))).where("n = 1").drop("n")
+    Both sides have pair_id, ord and ``fields``, with name and monthly among them."""
+    rows = _both(before, after, list(fields))
+    rows = _stage(rows, F.col("row.name"), "exact")
+    rows = _stage(rows, normal_name(F.col("row.name")), "normalized")
+    near = prices_close(F.col("_b.monthly"), F.col("_a.monthly"))
+    return _matches(_met(rows, ["ord"], "positional", near))
 
-    normal = sole(b, "before").join(sole(a, "after"), ["pair_id", "key"]).drop("key").withColumn("how", F.lit("normalized"))
-    gone = b.join(normal.select("pair_id", "before_metric"), ["pair_id", "before_metric"], "left_anti").withColumn("how", F.lit("removed"))
-    new = a.join(normal.select("pair_id", "after_metric"), ["pair_id", "after_metric"], "left_anti").withColumn("how", F.lit("added"))
-    return exact.unionByName(normal).unionByName(gone, allowMissingColumns=True).unionByName(new, allowMissingColumns=True)
+
+def match_rates(before: DataFrame, after: DataFrame) -> DataFrame:
+    """pair_id, how, before and after: structs of ord, metric and unit_price.
+
+    The k-th of a metric meets the k-th; what is left meets by normalized metric where that is the only
+    one of its kind on both sides."""
+    rows = _stage(_both(before, after, ["metric", "unit_price"]), F.col("row.metric"), "exact")
+    rows = rows.withColumn("key", normal_metric(F.col("row.metric")))
+    of = W.partitionBy("pair_id", F.col("how").isNull(), "key")
+    rows = rows.withColumn("sole", F.count("*").over(of) == 2)  # with a row on each side: one and one
+    return _matches(_met(rows, ["key"], "normalized", F.col("sole")).drop("key", "sole"))

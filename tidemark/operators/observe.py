@@ -19,10 +19,10 @@ def valid_observations(snapshots: DataFrame, extractions: DataFrame, currency: s
 
 
 def with_runs(valid: DataFrame) -> DataFrame:
-    """Add ``run``: it grows wherever the state differs from the one before, and ``next_state``, of the next row."""
+    """Add ``run``: it grows wherever the state differs from the one before, and the next row's state and confidence."""
     order = W.partitionBy("source_id").orderBy(*IN_TIME)
     changed = ~F.lag("normalized_hash").over(order).eqNullSafe(F.col("normalized_hash"))
-    rows = valid.withColumn("changed", changed.cast("int")).withColumn("next_state", F.lead("page_state").over(order))
+    rows = valid.withColumn("changed", changed.cast("int")).withColumns({"next_state": F.lead("page_state").over(order), "next_confidence": F.lead("confidence").over(order)})
     return rows.withColumn("run", F.sum("changed").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("changed")
 
 
@@ -40,6 +40,7 @@ def observation_runs(valid: DataFrame) -> DataFrame:
             F.min_by("page_state", first).alias("page_state"),
             F.min_by("confidence", first).alias("confidence"),
             F.min_by("next_state", first).alias("next_state"),
+            F.min_by("next_confidence", first).alias("next_confidence"),
             F.count("*").alias("rows"),
             F.when(F.size(kinds) > 1, "mixed").otherwise(kinds[0]).alias("provenance"),
         )
@@ -53,7 +54,7 @@ def consecutive_pairs(runs: DataFrame) -> DataFrame:
     pairs = runs.select(
         "source_id", "run", back("first_id").alias("from_id"), F.col("first_id").alias("to_id"), F.col("first_at").alias("observed_at"),
         back("page_state").alias("before_state"), F.col("page_state").alias("after_state"),
-        back("confidence").alias("before_confidence"), F.col("confidence").alias("after_confidence"), "next_state",
+        back("confidence").alias("before_confidence"), F.col("confidence").alias("after_confidence"), "next_state", "next_confidence",
     )
     return pairs.where("from_id is not null")
 

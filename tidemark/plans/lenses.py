@@ -46,24 +46,36 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("raw_content", F.when(F.col("ok") & first, F.col("raw_key")))
 
 
-#: 46 tiers of 16 page states: a dimension of fixed size.
+#: Tiers of 16 page states: a dimension of fixed size. Two tiers named Addon give one path twice; Scale and Team 2.0 are renames.
 TIERS = """
-select concat(t, ':', cast(j as {text})) as page_state, ord, name, monthly, annual, billing_unit, seats, is_free, is_enterprise
+select concat(t, ':', cast(j as {text})) as page_state, ord, name, monthly, annual, billing_unit, seats, is_free, is_enterprise, features
 from (select t, j, ord,
-   case ord when 0 then 'Free' when 1 then case when t = 'purchase' then 'Pro Plan' else 'Pro' end when 2 then 'Enterprise' else 'Team 2.0' end as name,
-   cast(case ord when 0 then 0 when 1 then case when t = 'signup' then null else 10 + 5 * j end when 2 then null else 50 + 10 * j end as double) as monthly,
+   case ord when 0 then 'Free' when 1 then case when t = 'purchase' then 'Pro Plan' else 'Pro' end when 2 then 'Enterprise'
+     when 3 then case when t = 'purchase' then 'Team 2.0' else 'Scale' end else 'Addon' end as name,
+   cast(case ord when 0 then 0 when 1 then case when t = 'signup' then null else 10 + 5 * j end when 2 then null when 3 then 50 + 10 * j when 4 then 5 + j else 20 + j end as double) as monthly,
    cast(case ord when 0 then case when j % 2 = 0 then 0 end when 1 then 96 + 24 * j end as double) as annual,
    case when ord = 1 then case t when 'click' then 'per_seat' when 'view' then 'unknown' else 'flat' end else 'flat' end as billing_unit,
-   cast(case when ord = 1 then j end as double) as seats, ord = 0 as is_free, ord = 2 as is_enterprise
+   cast(case when ord = 1 then j end as double) as seats, ord = 0 as is_free, (ord = 2 or (ord = 1 and t = 'signup' and j = 3)) as is_enterprise,
+   case when ord = 1 then concat('["f', cast(j % 2 as {text}), '"]') else '[]' end as features
+ from (values ('click'),('purchase'),('signup'),('view')) a(t) cross join (values (0),(1),(2),(3)) b(j) cross join (values (0),(1),(2),(3),(4),(5)) c(ord)) x
+where not (ord = 2 and t = 'view') and not (ord = 3 and not (t in ('purchase', 'click') and j >= 2)) and not (ord > 3 and t in ('purchase', 'signup'))
+"""
+
+#: Rates of the states: re-worded, repeated, ambiguous, and some that only a few states have.
+RATES = """
+select concat(t, ':', cast(j as {text})) as page_state, ord, metric, unit_price from (select t, j, ord,
+   case ord when 0 then case when j % 2 = 1 then 'Egress (per GB)' else 'Egress per GB' end
+     when 1 then case t when 'click' then 'AI credits (Enterprise tier)' when 'view' then 'AI credit (Enterprise)' else 'AI credits, overage' end
+     else case when t = 'purchase' then case ord when 2 then 'API calls' else 'API call (billed monthly)' end else 'API calls' end end as metric,
+   cast(case ord when 0 then case when t = 'click' then 0.5 else 0.25 end when 1 then 2 + j else ord end as double) as unit_price
  from (values ('click'),('purchase'),('signup'),('view')) a(t) cross join (values (0),(1),(2),(3)) b(j) cross join (values (0),(1),(2),(3)) c(ord)) x
-where not (ord = 2 and t = 'view') and not (ord = 3 and not (t = 'purchase' and j >= 2))
+where not (ord >= 2 and t = 'signup') and not (ord = 3 and t = 'view')
 """
 
 EXTRACTIONS = """
 select concat(t, ':', cast(j as {text})) as page_state, {sha} as normalized_hash,
    case when t = 'view' and j = 3 then 'low' else 'high' end as confidence, case when t = 'signup' and j = 1 then 'EUR' else 'USD' end as currency,
-   t as notes, case when j % 2 = 1 then 'Egress (per GB)' else 'Egress per GB' end as metric,
-   cast(case when t = 'click' then 0.5 else 0.25 end as double) as unit_price, cast(8000 + 100 * j as bigint) as cost_micros
+   t as notes, cast(8000 + 100 * j as bigint) as cost_micros
 from (values ('click'),('purchase'),('signup'),('view')) a(t) cross join (values (0),(1),(2),(3)) b(j)
 """
 
@@ -72,6 +84,10 @@ def tiers(spark: SparkSession) -> DataFrame:
     return spark.sql(TIERS.format(text="string"))
 
 
+def rates(spark: SparkSession) -> DataFrame:
+    return spark.sql(RATES.format(text="string"))
+
+
 def extractions(spark: SparkSession) -> DataFrame:
     return spark.sql(EXTRACTIONS.format(text="string", sha="sha2(concat(t, ':', cast(j as string)), 256)"))
 
@@ -106,4 +122,5 @@ SNAPSHOTS_SQL = """snapshots as (
    case when k % 3 = 0 then 'live' else concat('wayback:', strftime(ts, '%Y%m%d%H%M%S')) end as provenance, k
    from (select *, cast(json_extract(props, '$.k') as int) as k from events)))"""
 TIERS_SQL = f"tiers as ({TIERS.format(text='varchar')})"
+RATES_SQL = f"rates as ({RATES.format(text='varchar')})"
 EXTRACTIONS_SQL = f"extractions as ({EXTRACTIONS.format(text='varchar', sha='sha256(concat(t, chr(58), cast(j as varchar)))')})"

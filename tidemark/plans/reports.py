@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import expressions as X
 from tidemark.operators import match, observe, timeline
 from tidemark.plans import lenses
-from tidemark.plans.catalogue import CHANGES_SQL, RUNS_SQL, _source_changes, _state_pairs, _valid, query
-from tidemark.plans.lenses import AS_OF, EXTRACTIONS_SQL, SNAPSHOTS_SQL, TIERS_SQL, table
+from tidemark.plans.catalogue import CHANGES_SQL, CONFIRM_SQL, PAIRS_SQL, RATES_MATCH_SQL, RUNS_SQL, _confirmed, _on, _pairs, _source_changes, _state_pairs, _valid, query
+from tidemark.plans.lenses import AS_OF, EXTRACTIONS_SQL, RATES_SQL, SNAPSHOTS_SQL, TIERS_SQL, table
 
 #: Micro-dollars; nothing runs once a month has cost so much.
 BUDGET = 5_000_000
@@ -58,22 +58,19 @@ def marker_day_groups(spark, sf_dir):
     return rows.groupBy(day).agg(F.count("*").alias("changes"), F.count_distinct("source_id").alias("sources"), F.max("materiality").alias("most"))
 
 
-@query(f"with {CHANGES_SQL} select to_id, epoch_us(observed_at) as at_us, json_path, materiality from pairs join state_changes using (before_state, after_state) where materiality >= 40 order by observed_at desc, to_id desc, json_path limit 50")
+@query(f"with {CONFIRM_SQL} select to_id, epoch_us(observed_at) as at_us, change_type, json_path, before, after, materiality from judged where state = 'confirmed' order by observed_at desc, to_id desc, json_path limit 200")
 def confirmed_feed_topk(spark, sf_dir):
-    """The feed's 50 latest material changes."""
-    rows = _source_changes(spark, sf_dir).where(F.col("materiality") >= X.THRESHOLD)
-    return rows.orderBy(F.desc("observed_at"), F.desc("to_id"), "json_path").limit(50).select("to_id", US(F.col("observed_at")).alias("at_us"), "json_path", "materiality")
-
+    """The feed's 200 latest confirmed changes."""
+    rows = _confirmed(spark, sf_dir).where("state = 'confirmed'")
+    return rows.orderBy(F.desc("observed_at"), F.desc("to_id"), "json_path").limit(200).select("to_id", US(F.col("observed_at")).alias("at_us"), "change_type", "json_path", "before", "after", "materiality")
 
-_METRIC = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' per ', ' ')"
 
-
-@query(f"""with {EXTRACTIONS_SQL}, p as (select concat(b.page_state, '>', a.page_state) as pair_id, b.metric as bm, a.metric as am from extractions b, extractions a where b.page_state <> a.page_state)
- select pair_id, bm as before_metric, am as after_metric, case when bm = am then 'exact' else 'normalized' end as how from p where trim({_METRIC.format('bm')}) = trim({_METRIC.format('am')})""")
+@query(f"""with {PAIRS_SQL}, {RATES_SQL}, sp as (select distinct before_state, after_state, concat(before_state, '>', after_state) as pair_id from pairs), {RATES_MATCH_SQL}
+ select pair_id, cast(bo as bigint) as before_ord, cast(ao as bigint) as after_ord, how from rate_match""")
 def rate_match_unambiguous(spark, sf_dir):
-    pairs, x = _state_pairs(spark), lenses.extractions(spark)
-    on = lambda side: pairs.select("pair_id", F.col(f"{side}_state").alias("page_state")).join(x, "page_state")
-    return match.match_rates(on("before"), on("after")).select("pair_id", "before_metric", "after_metric", "how")
+    pairs, rates = _state_pairs(_pairs(spark, sf_dir)), lenses.rates(spark)
+    found = match.match_rates(_on(pairs, rates, "before"), _on(pairs, rates, "after"))
+    return found.select("pair_id", F.col("before.ord").cast("long").alias("before_ord"), F.col("after.ord").cast("long").alias("after_ord"), "how")
 
 
 # ---------------------------------------------------------------- health
@@ -108,21 +105,31 @@ def status_totals(spark, sf_dir):
     return last.agg(F.count("*").alias("sources"), F.count_if("ok").alias("healthy"))
 
 
-_GATES = ["failed", "identical", "known state", "rejected", "extracted"]
+_GATES = ["Repeat fetch, byte-identical", "Repeat page state, already extracted", "Short-circuited before any request", "Called and succeeded", "Called and rejected"]
+#: Page states without an extraction: not yet due.
+PENDING_STATES = ("view:2",)
 
 
-@query(f"""with {SNAPSHOTS_SQL}, g as (select case when not ok then 0 when raw_content is null then 1 when row_number() over (partition by source_id, normalized_hash order by observed_at, id) > 1 then 2 when error is not null then 3 else 4 end as gate from snapshots),
- t as (select gate, count(*) as n from g group by gate), a as (select gate, name, coalesce(n, 0) as n from (values (0, 'failed'), (1, 'identical'), (2, 'known state'), (3, 'rejected'), (4, 'extracted')) v(gate, name) left join t using (gate))
- select name, n, cast(sum(n) over () - sum(n) over (order by gate) as bigint) as remaining from a""")
+@query(f"""with {SNAPSHOTS_SQL}, {EXTRACTIONS_SQL}, s as (select *, coalesce(error like 'extraction ungrounded:%' or (error like 'extraction invalid:%' and error not like 'extraction invalid: normalized slice is empty%'), false) as rejected from snapshots where ok),
+ x as (select count(*) as rows, count(distinct normalized_hash) as states from s where raw_content is not null and not rejected and page_state <> 'view:2' and normalized_hash in (select normalized_hash from extractions)),
+ c as (select (select count(*) from s) as total, (select count(*) from s where raw_content is null) as same, (select count(*) from s where raw_content is not null and rejected) as refused, rows, states from x),
+ a as (select unnest([{{'gate': 0, 'name': '{_GATES[0]}', 'n': same}}, {{'gate': 1, 'name': '{_GATES[1]}', 'n': rows - states}}, {{'gate': 2, 'name': '{_GATES[2]}', 'n': total - same - refused - rows}}, {{'gate': 3, 'name': '{_GATES[3]}', 'n': states}}, {{'gate': 4, 'name': '{_GATES[4]}', 'n': refused}}], recursive := true) from c)
+ select name, cast(n as bigint) as eliminated, cast(sum(n) over () - sum(n) over (order by gate) as bigint) as remaining from a""")
 def funnel_gates(spark, sf_dir):
-    """Each fetch stops at its first gate; what is left after each of the five."""
-    known = F.row_number().over(W.partitionBy("source_id", "normalized_hash").orderBy("observed_at", "id")) > 1
-    gate = F.when(~F.col("ok"), 0).when(F.col("raw_content").isNull(), 1).when(known, 2).when(F.col("error").isNotNull(), 3).otherwise(4)
-    counts = lenses.snapshots(spark, sf_dir).withColumn("gate", gate).groupBy("gate").count()
-    gates = spark.createDataFrame(list(enumerate(_GATES)), "gate int, name string")
-    rows = gates.join(counts, "gate", "left").select("gate", "name", F.coalesce("count", F.lit(0)).alias("n"))
-    all_rows, so_far = W.partitionBy(F.lit(0)), W.partitionBy(F.lit(0)).orderBy("gate")  # five rows
-    return rows.select("name", "n", (F.sum("n").over(all_rows) - F.sum("n").over(so_far)).alias("remaining"))
+    """Every good fetch falls to one of five gates; what is left after each."""
+    e = F.coalesce("error", F.lit(""))
+    rejected = e.startswith("extraction ungrounded:") | (e.startswith("extraction invalid:") & ~e.startswith("extraction invalid: normalized slice is empty"))
+    known = lenses.extractions(spark).where(~F.col("page_state").isin(*PENDING_STATES)).select("normalized_hash", F.lit(True).alias("known"))
+    rows = lenses.snapshots(spark, sf_dir).where("ok").withColumn("rejected", rejected).join(known, "normalized_hash", "left")
+    fresh, called = F.col("raw_content").isNotNull(), F.col("raw_content").isNotNull() & ~F.col("rejected") & F.col("known").isNotNull()
+    totals = rows.agg(
+        F.count("*").alias("total"), F.count_if(~fresh).alias("same"), F.count_if(fresh & F.col("rejected")).alias("refused"),
+        F.count_if(called).alias("rows"), F.count_distinct(F.when(called, F.col("normalized_hash"))).alias("states"),
+    )
+    n = [F.col("same"), F.col("rows") - F.col("states"), F.col("total") - F.col("same") - F.col("refused") - F.col("rows"), F.col("states"), F.col("refused")]
+    gone = [sum(n[: i + 1], F.lit(0)) for i in range(5)]
+    gates = F.array(*[F.struct(F.lit(name).alias("name"), x.alias("eliminated"), (F.col("total") - g).alias("remaining")) for name, x, g in zip(_GATES, n, gone, strict=True)])
+    return totals.select(F.inline(gates))
 
 
 # ---------------------------------------------------------------- runs of the archive's own jobs
@@ -149,13 +156,28 @@ def run_lock_state(spark, sf_dir):
     return _job_runs(spark, sf_dir).groupBy("kind").agg(F.count_if(running & ~recent).alias("crashed"), F.bool_or(running & recent).alias("locked"))
 
 
-@query(f"""with {_RUNS} select kind, case when max(case when state = 'ok' then date_trunc('second', started_at) end) >= timestamp '{AS_OF}' - interval 25 hours then 'quiet'
-  when max(date_trunc('second', started_at)) >= timestamp '{AS_OF}' - interval 26 hours then 'failing' else 'absent' end as alert from job_runs group by kind""")
+#: A kind for each event type, some never good, some old, some that need not run at all.
+_WATCHED = "watched as (select id, case when kind = 'error' and id % 3 = 0 then 'restic' when kind = 'signup' and state = 'ok' then 'never' else kind end as kind, started_at + interval 5 minutes as ended_at, case when kind in ('signup', 'error') and state = 'ok' then 'failed' when kind = 'view' and id % 2 = 0 then 'failed' else state end as state from job_runs where kind <> 'purchase' or started_at < timestamp '2024-01-20 00:00:00')"
+OPTIONAL_KINDS = ("restic",)
+
+
+@query(f"""with {_RUNS}, {_WATCHED}, l as (select kind, arg_max(state, id) as state, arg_max(ended_at, id) as ended_at, max(ended_at) filter (state = 'ok') as last_ok from watched group by kind)
+ select kind, state = 'failed' and ended_at > timestamp '{AS_OF}' - interval 25 hours as failed,
+  case when last_ok is null then kind <> 'restic' else not last_ok > timestamp '{AS_OF}' - interval 26 hours end as absent, last_ok is null as never from l""")
 def heartbeat_alerts(spark, sf_dir):
-    at = F.date_trunc("second", "started_at")
-    within = lambda c, hours: c >= F.expr(f"timestamp'{AS_OF}' - interval {hours} hours")
-    rows = _job_runs(spark, sf_dir).groupBy("kind").agg(F.max(F.when(F.col("state") == "ok", at)).alias("good"), F.max(at).alias("seen"))
-    return rows.select("kind", F.when(within(F.col("good"), 25), "quiet").when(within(F.col("seen"), 26), "failing").otherwise("absent").alias("alert"))
+    """A kind alerts where its latest run failed within 25 hours, and where no run was good within 26; both may hold.
+
+    A kind that never was good alerts once there is an archive, unless it is optional."""
+    rows = _job_runs(spark, sf_dir)
+    kind = F.when((F.col("kind") == "error") & (F.col("id") % 3 == 0), "restic").when((F.col("kind") == "signup") & (F.col("state") == "ok"), "never").otherwise(F.col("kind"))
+    bad = (F.col("kind").isin("signup", "error") & (F.col("state") == "ok")) | ((F.col("kind") == "view") & (F.col("id") % 2 == 0))
+    rows = rows.where("kind <> 'purchase' or started_at < timestamp'2024-01-20 00:00:00'")
+    rows = rows.select("id", kind.alias("kind"), (F.col("started_at") + F.expr("interval 5 minutes")).alias("ended_at"), F.when(bad, "failed").otherwise(F.col("state")).alias("state"))
+    within = lambda c, hours: F.col(c) > F.expr(f"timestamp'{AS_OF}' - interval {hours} hours")
+    last = rows.groupBy("kind").agg(F.max_by("state", "id").alias("state"), F.max_by("ended_at", "id").alias("ended_at"), F.max(F.when(F.col("state") == "ok", F.col("ended_at"))).alias("last_ok"))
+    never = F.col("last_ok").isNull()
+    absent = F.when(never, ~F.col("kind").isin(*OPTIONAL_KINDS)).otherwise(~within("last_ok", 26))
+    return last.select("kind", ((F.col("state") == "failed") & within("ended_at", 25)).alias("failed"), absent.alias("absent"), never.alias("never"))
 
 
 @query(f"with {SNAPSHOTS_SQL} select id, k % 4 as attempts, case when ok then 'done' when k % 4 >= 3 then 'failed' else 'pending' end as state, not ok and k % 4 < 3 as eligible from snapshots where provenance <> 'live'")
@@ -199,13 +221,25 @@ def budget_running_stop(spark, sf_dir):
     return found.select("id", "day", "spent", (F.col("spent") >= 200_000).alias("stopped"))
 
 
-@query(f"with {COSTS_SQL}, p as (select count(*) as pending from snapshots where provenance <> 'live' and not ok and k % 4 < 3), c as (select avg(cost_micros) as mean from costs where not live) select pending, cast(floor(pending * case when mean > 0 then mean else 10000 end) as bigint) as micros from p, c")
+#: Captures that one run drains.
+SLICE = 500
+
+
+@query(f"""with {SNAPSHOTS_SQL}, {EXTRACTIONS_SQL}, x as (select * from extractions where page_state <> 'view:2'), q as (select least(count(*), {SLICE}) as n from snapshots where provenance <> 'live' and not ok and k % 4 < 3),
+ u as (select count(*) as n from snapshots s where ok and raw_content is not null and error is null and not exists (select 1 from x where x.normalized_hash = s.normalized_hash)),
+ m as (select case when avg(cost_micros) > 0 then cast(floor(avg(cost_micros) + 0.5) as bigint) else 10000 end as mean from x)
+ select q.n + u.n as pending, mean, (q.n + u.n) * mean as micros, (q.n + u.n) * mean <= {BUDGET} as within_budget, {BUDGET} // mean as max_calls from q, u, m""")
 def backfill_estimate(spark, sf_dir):
-    """Pending captures at the mean cost so far, or at 10,000 micro-dollars before there is one."""
-    pending = lenses.snapshots(spark, sf_dir).agg(F.count_if((F.col("provenance") != "live") & ~F.col("ok") & (F.col("k") % 4 < 3)).alias("pending"))
-    mean = _costs(spark, sf_dir).agg(F.avg(F.when(~F.col("live"), F.col("cost_micros"))).alias("mean"))
-    each = F.when(F.col("mean") > 0, F.col("mean")).otherwise(10_000)
-    return pending.join(mean, F.lit(True)).select("pending", F.floor(F.col("pending") * each).alias("micros"))  # one row each
+    """Captures to drain, at most a slice, and drained ones to extract, at the mean cost of an extraction."""
+    x = lenses.extractions(spark).where(~F.col("page_state").isin(*PENDING_STATES))
+    rows = lenses.snapshots(spark, sf_dir).join(x.select("normalized_hash", F.lit(True).alias("known")), "normalized_hash", "left")
+    queued = F.count_if((F.col("provenance") != "live") & ~F.col("ok") & (F.col("k") % 4 < 3))
+    waiting = F.count_if(F.col("ok") & F.col("raw_content").isNotNull() & F.col("error").isNull() & F.col("known").isNull())
+    mean = F.avg("cost_micros")
+    each = x.agg(F.when(mean > 0, F.floor(mean + 0.5)).otherwise(10_000).alias("mean"))
+    work = rows.agg((F.least(queued, F.lit(SLICE)) + waiting).alias("pending")).join(each, F.lit(True))  # one row each
+    micros = F.col("pending") * F.col("mean")
+    return work.select("pending", "mean", micros.alias("micros"), (micros <= BUDGET).alias("within_budget"), F.floor(F.lit(BUDGET) / F.col("mean")).alias("max_calls"))
 
 
 @query(f"""with {CHANGES_SQL}, c as (select count(*) as pending, max(observed_at) as last from pairs join state_changes using (before_state, after_state) where materiality >= 40 and observed_at > timestamp '{AS_OF}' - interval 7 days)
