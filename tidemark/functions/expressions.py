@@ -48,6 +48,32 @@ def json_number(c: Column) -> Column:
     return F.coalesce(number_text(c), F.lit("null"))
 
 
+def plain_value(c: Column) -> Column:
+    """A JSON scalar as text; null is none."""
+    text = F.when(c.startswith('"'), F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
+    return F.when(c.isNull() | (c == "null"), "none").otherwise(text)
+
+
+def money(c: Column) -> Column:
+    """A JSON number in dollars, thousands apart, three decimals at most."""
+    number = c.cast("double")
+    whole = F.format_number(F.floor(number), 0)
+    part = F.regexp_replace(F.format_string("%.3f", number), r"^-?[0-9]+|\.?0+$", "")
+    return F.concat(F.lit("$"), F.when(number == F.floor(number), whole).otherwise(F.concat(whole, part)))
+
+
+def change_label(kind: Column, path: Column, before: Column, after: Column) -> Column:
+    """Tier and what happened to it: "Pro annual price $96 → $120", "Solo tier added"."""
+    name = F.regexp_replace(path, "^tiers[.]", "")
+    tier = F.when(~path.startswith("tiers."), path).otherwise(F.regexp_replace(name, "[.][^.]*$", ""))
+    field = F.regexp_extract(path, "[^.]*$", 0)
+    which = F.when(field == "monthly_price_usd", "").otherwise(F.concat(F.replace(F.regexp_replace(field, "_usd$", ""), F.lit("_"), F.lit(" ")), F.lit(" ")))
+    numbers = (before != "null") & (after != "null")
+    span = F.when(numbers, F.concat(money(before), F.lit(" → "), money(after))).otherwise(F.concat(plain_value(before), F.lit(" to "), plain_value(after)))
+    said = F.concat(tier, F.lit(" "), F.replace(kind, F.lit("_"), F.lit(" ")))
+    return F.when(kind == "price_changed", F.concat(tier, F.lit(" "), which, span)).otherwise(said)
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

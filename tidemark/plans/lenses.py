@@ -18,14 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per fetch; content only where its bytes are new to the source."""
+def fetched(events: DataFrame) -> DataFrame:
+    """One row per fetch, from events in a table or a stream."""
     k = F.get_json_object("props", "$.k").cast("int")
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", k.alias("k"))
+    rows = events.select("event_id", "ts", "user_id", "event_type", k.alias("k"))
     ok = F.col("event_type") != "error"
     key = F.concat_ws(":", "event_type", F.col("k").cast("string"))
     state = F.concat_ws(":", "event_type", F.floor(F.col("k") / 25).cast("string"))
-    rows = rows.select(
+    return rows.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("source_id"),
         F.col("ts").alias("observed_at"),
@@ -42,6 +42,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 3 == 0, "live").otherwise(F.concat(F.lit("wayback:"), F.date_format("ts", "yyyyMMddHHmmss"))).alias("provenance"),
         "k",
     )
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per fetch; content only where its bytes are new to the source."""
+    rows = fetched(table(spark, sf_dir, "events"))
     first = F.row_number().over(W.partitionBy("source_id", "raw_hash").orderBy("observed_at", "id")) == 1
     return rows.withColumn("raw_content", F.when(F.col("ok") & first, F.col("raw_key")))
 
