@@ -101,3 +101,26 @@ def test_stream_of_runs_over_batches_and_restarts(spark, tmp_path):
     found = runs.drained(stream(), str(tmp_path / "out"))
     rows = sorted((r["source_id"], r["late"], r["run"], r["first_id"], r["page_state"]) for r in found.collect())
     assert rows == [(1, False, 1, 1, "A"), (1, False, 2, 4, "B"), (1, False, 3, 7, "A"), (1, True, 2, 5, "C"), (2, False, 1, 9, "X")]
+
+
+def test_dataset_runs_are_compared_with_their_opening(spark):
+    """Units flat, unknown, flat are one run; annual 0 then unknown of a free tier is one run that says 0; gaps and equal names part runs."""
+    from tidemark.operators import datasets
+
+    schema = "source_id long, tier string, occurrence int, run long, first_at timestamp, last_at timestamp, provenance string, monthly double, annual double, billing_unit string, seats double, is_free boolean, is_enterprise boolean"
+    import datetime
+
+    def rows(source, tier, *states, occurrence=0):
+        at = lambda i: datetime.datetime(2024, 1, 1 + i)
+        return [(source, tier, occurrence, run, at(run), at(run), prov, monthly, annual, unit, None, monthly == 0, False) for run, monthly, annual, unit, prov in states]
+
+    given = rows(1, "Pro", (1, 20.0, None, "flat", "live"), (2, 20.0, None, "unknown", "live"), (3, 20.0, None, "flat", "wayback"), (4, 25.0, None, "flat", "live"), (6, 25.0, None, "flat", "live"))
+    given += rows(1, "Free", (1, 0.0, None, "flat", "live"), (2, 0.0, 0.0, "flat", "live"), (3, 0.0, None, "flat", "live"))
+    given += rows(2, "Pro", (1, 5.0, None, "unknown", "live"), (2, 5.0, None, "flat", "live"), (3, 5.0, None, "per_seat", "live"))  # all like the one that opened
+    given += rows(3, "Add", (1, 5.0, None, "flat", "live"), (2, 5.0, None, "flat", "live")) + rows(3, "Add", (1, 9.0, None, "flat", "live"), (2, 9.0, None, "flat", "live"), occurrence=1)
+    found = datasets.dataset_runs(spark.createDataFrame(given, schema)).collect()
+    shown = sorted((r["source_id"], r["tier"], r["occurrence"], r["first_us"] // 86_400_000_000 - 19723, r["last_us"] // 86_400_000_000 - 19723, r["monthly"], r["annual"], r["billing_unit"], r["provenance"]) for r in found)
+    assert shown == [
+        (1, "Free", 0, 1, 3, 0.0, 0.0, "flat", "live"), (1, "Pro", 0, 1, 3, 20.0, None, "flat", "mixed"), (1, "Pro", 0, 4, 4, 25.0, None, "flat", "live"), (1, "Pro", 0, 6, 6, 25.0, None, "flat", "live"),
+        (2, "Pro", 0, 1, 3, 5.0, None, "unknown", "live"), (3, "Add", 0, 1, 2, 5.0, None, "flat", "live"), (3, "Add", 1, 1, 2, 9.0, None, "flat", "live"),
+    ]

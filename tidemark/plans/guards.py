@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import observe
+from tidemark.operators import datasets, observe
 from tidemark.plans import lenses
 from tidemark.plans.catalogue import RUNS_SQL, VALID_SQL, _valid, query
 from tidemark.plans.lenses import SNAPSHOTS_SQL, TIERS_SQL, table
@@ -15,27 +15,55 @@ from tidemark.plans.reports import US
 _STATE = ["monthly", "annual", "billing_unit", "seats"]
 
 
-@query(f"""with {RUNS_SQL}, {TIERS_SQL}, tier_rows as (select source_id, run, name as tier, first_at, last_at, monthly, annual, billing_unit, seats from runs join tiers using (page_state)),
+_TIER_ROWS = f"""{RUNS_SQL}, {TIERS_SQL}, tier_rows as (select source_id, run, name as tier, row_number() over (partition by source_id, run, name order by ord) - 1 as occurrence,
+  first_at, last_at, monthly, annual, billing_unit, seats, is_free, is_enterprise, provenance from runs join tiers using (page_state))"""
+
+
+def _tier_rows(spark, sf_dir) -> DataFrame:
+    """The tiers of every observation; those of one name are told apart by their place."""
+    runs = observe.observation_runs(_valid(spark, sf_dir)).select("source_id", "run", "first_at", "last_at", "page_state", "provenance")
+    nth = F.row_number().over(W.partitionBy("page_state", "name").orderBy("ord")) - 1
+    return runs.join(lenses.tiers(spark).withColumn("occurrence", nth), "page_state").withColumnRenamed("name", "tier")
+
+
+@query(f"""with {_TIER_ROWS},
  tier_flags as (select *, case when lag(run) over w = run - 1 and {' and '.join(f'lag({c}) over w is not distinct from {c}' for c in _STATE)} then 0 else 1 end as opens
-  from tier_rows window w as (partition by source_id, tier order by run)),
- spans as (select *, sum(opens) over (partition by source_id, tier order by run rows unbounded preceding) as span from tier_flags)
- select source_id, tier, cast(span as bigint) as span, min(run) as first_run, max(run) as last_run, epoch_us(min(first_at)) as first_us, epoch_us(max(last_at)) as last_us, any_value(monthly) as monthly
- from spans group by source_id, tier, span""")
+  from tier_rows window w as (partition by source_id, tier, occurrence order by run)),
+ spans as (select *, sum(opens) over (partition by source_id, tier, occurrence order by run rows unbounded preceding) as span from tier_flags)
+ select source_id, tier, occurrence, cast(span as bigint) as span, min(run) as first_run, max(run) as last_run, epoch_us(min(first_at)) as first_us, epoch_us(max(last_at)) as last_us, any_value(monthly) as monthly
+ from spans group by source_id, tier, occurrence, span""")
 def dataset_runs_simple(spark, sf_dir):
     """Spans of consecutive runs in which a tier is present and unchanged, compared strictly (nulls equal)."""
-    runs = observe.observation_runs(_valid(spark, sf_dir)).select("source_id", "run", "first_at", "last_at", "page_state")
-    rows = runs.join(F.broadcast(lenses.tiers(spark)), "page_state").withColumnRenamed("name", "tier")  # 46 tiers
-    order = W.partitionBy("source_id", "tier").orderBy("run")
+    order = W.partitionBy("source_id", "tier", "occurrence").orderBy("run")
     same = F.lag("run").over(order) == F.col("run") - 1
     for c in _STATE:
         same = same & F.lag(c).over(order).eqNullSafe(F.col(c))
-    rows = rows.withColumn("opens", F.when(same, 0).otherwise(1))
+    rows = _tier_rows(spark, sf_dir).withColumn("opens", F.when(same, 0).otherwise(1))
     rows = rows.withColumn("span", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy("source_id", "tier", "span").agg(
+    return rows.groupBy("source_id", "tier", "occurrence", "span").agg(
         F.min("run").alias("first_run"), F.max("run").alias("last_run"), US(F.min("first_at")).alias("first_us"), US(F.max("last_at")).alias("last_us"), F.first("monthly").alias("monthly")
     )
 
 
+#: o opens the run, r is the next row.
+_SAME = """o.monthly is not distinct from r.monthly and o.seats is not distinct from r.seats and o.is_free = r.is_free and o.is_enterprise = r.is_enterprise
+  and (o.billing_unit = r.billing_unit or o.billing_unit = 'unknown' or r.billing_unit = 'unknown')
+  and (o.annual is not distinct from r.annual or (o.monthly = 0 and r.monthly = 0 and coalesce(o.annual, 0) = 0 and coalesce(r.annual, 0) = 0)) and r.run = o.run + 1"""
+_OPEN = ["monthly", "annual", "billing_unit", "seats", "is_free", "is_enterprise"]
+
+
+@query(f"""with recursive {_TIER_ROWS}, n as (select *, row_number() over (partition by source_id, tier, occurrence order by run) as k from tier_rows),
+ f as (select source_id, tier, occurrence, k, run, {', '.join(_OPEN)}, annual as seen, first_at, last_at, provenance, 1 as span from n where k = 1
+  union all select r.source_id, r.tier, r.occurrence, r.k, r.run, {', '.join(f'case when {_SAME} then o.{c} else r.{c} end' for c in _OPEN)}, r.annual, r.first_at, r.last_at, r.provenance, o.span + case when {_SAME} then 0 else 1 end
+  from f o join n r on r.source_id = o.source_id and r.tier = o.tier and r.occurrence = o.occurrence and r.k = o.k + 1)
+ select source_id, tier, occurrence, epoch_us(min(first_at)) as first_us, epoch_us(max(last_at)) as last_us, any_value(monthly) as monthly, coalesce(arg_min(annual, k), max(case when seen = 0 then 0.0 end)) as annual,
+  arg_min(billing_unit, k) as billing_unit, any_value(seats) as seats, bool_or(is_free) as is_free, bool_or(is_enterprise) as is_enterprise,
+  case when bool_or(provenance = 'mixed') or count(distinct provenance) > 1 then 'mixed' else any_value(provenance) end as provenance from f group by source_id, tier, occurrence, span""")
+def dataset_runs(spark, sf_dir):
+    """The published rows: runs in which a tier holds the state that opened the run."""
+    return datasets.dataset_runs(_tier_rows(spark, sf_dir))
+
+
 @query(f"""with {VALID_SQL}, {TIERS_SQL}, seen as (select source_id, min(observed_at) as f, max(observed_at) as l, count(distinct raw_hash) as states from snapshots where ok group by source_id),
  latest as (select source_id, arg_max(page_state, (observed_at, id)) as page_state from valid group by source_id),
  priced as (select page_state, min(monthly) as price, count(*) as tiers from tiers where monthly > 0 group by page_state)
