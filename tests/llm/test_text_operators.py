@@ -270,13 +270,81 @@ def test_differencing_deletes_shared_lines(spark):
 
 def test_differencing_decides_inside_and_outside_of_articles(spark):
     rows = [(i, f"https://teaser.example/a/{i}", page(f"<article>Teaser for all</article><div>Story {i}</div><p>Body {i}</p><div>All rights reserved</div>")) for i in range(9)]
-    rows += [(100 + i, f"https://inside.example/a/{i}", page(f"<main><p>Please share this</p><p>Long story number {i}</p></main><div>Second {i}</div>")) for i in range(9)]
+    rows += [(100 + i, f"https://inside.example/a/{i}", page(f"<main><div class='plea'><p>Please write</p><p>to us</p></div><p>As ever.</p><p>Long story number {i}</p></main><div>Second {i}</div>")) for i in range(9)]
     rows += [(200, "https://lone.example/", page("<article>A</article><div>B</div>")), (300, "https://two.example/a", page("<main><p>The same long story</p><p>x</p></main>")), (301, "https://two.example/b", page("<main><p>The same long story</p><p>y</p></main>"))]
     of = {r["page_id"]: r["text"] for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(of[i] == f"Story {i}\nBody {i}" and of[100 + i] == f"Long story number {i}\nSecond {i}" for i in range(9))
+    assert all(of[i] == f"Story {i}\nBody {i}" and of[100 + i] == f"As ever.\nLong story number {i}\nSecond {i}" for i in range(9))
     assert of[200] == "A\nB" and of[300] == "The same long story\nx" and of[301] == "The same long story\ny"
 
 
+def test_names_and_headers_inside_articles():
+    own = lambda body: pages.main_text(pages.blocks(page(body)), None)
+    assert own("<header>Site</header><article><header><h1>Title</h1></header><p class='legal'>Law</p><div class='share-price'>12</div><p>a <span class='search'>big</span> find, a<wbr>b</p></article>") == "Title\nLaw\n12\na big find, ab"
+    assert own("<article><p>x</p><div class='share-buttons'>Tell</div><div class='ad'>Buy</div><aside>More</aside><form>F</form></article>") == "x"
+    assert own("<div class='sidebar-left'>S</div><p>x</p>") == "x"
+    deep = "<b>" * 20_000 + "<p>deep" + "</i>" * 20_000 + "<p>er" * 2000
+    assert own(deep).startswith("deep\ner")
+
+
+def plain_page(own, other):
+    """The text of a page by the plain rules: longest common subsequence by the table, then regions."""
+    a, b = [x[2:] for x in own], [x[2:] for x in other or []]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    shared, i, j = set(), 0, 0
+    while a != b and i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            shared.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return shared, best[0][0]
+
+
+@pytest.mark.parametrize("articles", [True, False])
+def test_every_route_decides_lines(spark, articles):
+    """Whole extraction against a plain version, on the pages of sf0.01 and on the same without article elements, with a count of the lines that each route decides."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    html = {r["page_id"]: (r["html"] or "") if articles else re.sub(r"</?article>", "", r["html"] or "").replace("<nav>", "<div>").replace("</nav>", "</div>") for r in rows}
+    df = spark.createDataFrame([(r["page_id"], r["url"], html[r["page_id"]]) for r in rows], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in pages.extracted(df).collect()}
+
+    def place(r):
+        host, path = plain_url(r["url"])
+        return host, path, r["page_id"]
+
+    order = sorted(rows, key=place)
+    blocks = {r["page_id"]: pages.blocks(html[r["page_id"]]) for r in rows}
+    routes = Counter()
+    for n, r in enumerate(order):
+        near = [x for x in (order[n - 1] if n else None, order[n + 1] if n + 1 < len(order) else None) if x and place(x)[0] == place(r)[0]]
+        other = max(near, key=lambda x: pages.start_shared(place(x)[1], place(r)[1])) if near else None
+        own, theirs = blocks[r["page_id"]], blocks[other["page_id"]] if other else None
+        shared, longest = plain_page(own, theirs)
+        assert found[r["page_id"]] == pages.main_text(own, theirs)
+        if theirs and [x[2:] for x in own] != [x[2:] for x in theirs]:
+            assert len(pages.shared_lines([x[2:] for x in own], [x[2:] for x in theirs])) == longest
+        kept = found[r["page_id"]].split("\n") if found[r["page_id"]] else []
+        routes["kept by differencing"] += len(kept)
+        routes["deleted by differencing"] += len(own) - len(kept)
+        if articles:  # what an article holds is whole
+            assert kept == [line for _, _, _, line in own]
+    assert routes["kept by differencing"] > 2000
+    assert articles or routes["deleted by differencing"] > 0
+
+
+def plain_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.split("[?#]", rest[len(host) :])[0]
+
+
 def test_nearest_page_is_found_on_hosts_of_any_size(spark):
     """Each section has its own template line, so a page keeps it if it is paired outside of it."""
     rows = [(i, f"https://large.example/s{i // 2:04d}/{i % 2}", page(f"<div>Section {i // 2}</div><p>Body {i}</p>")) for i in range(4402)]

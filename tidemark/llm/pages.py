@@ -1,12 +1,15 @@
 """Main text of web pages: differencing against the nearest page of the host.
 
-A page becomes blocks of text. What lies in navigation, headers, footers, asides, forms, scripts
-or elements named as adverts, notices, menus or comments is never text. Differencing decides the
-rest, inside article and main elements and outside: pages are paired by URL path within their
-host, the lines of both are aligned by longest common subsequence, and lines that both share are
-the template's and go. Pages whose lines are all the same are copies, not a template: they keep
-theirs. A page of which over half is marked by article or main and shared is a version of the
-other's story: it keeps the marked lines. A page with no other on its host keeps all lines.
+A page becomes blocks of text, each with the path of its containers (names and classes). What lies in
+navigation, headers, footers, asides, forms, scripts or elements named as adverts, notices, menus or
+comments is never text. Differencing decides the rest: pages are paired by URL path within their host,
+the lines of both, with their paths, are aligned by longest common subsequence, and what both share is
+the template's and goes: outside article and main elements line by line; inside them the nearest container (a div,
+a list, the article itself) if every line of it is shared. A sentence that two articles happen to share stays.
+Inside them the header is the article's own, and names count for containers alone. Pages whose lines are
+all the same are copies, not a template: they keep theirs. A page of which over half is marked by
+article or main and shared is a version of the other's story: it keeps the marked lines. A page with no
+other on its host keeps all lines.
 
 Hosts of any size: all pages are cut into ranges in order of host and path, and the first and last
 page of a range are also sent to the neighbouring range; a page is paired with whichever neighbour
@@ -24,6 +27,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,13 +56,20 @@ BLOCK = frozenset(
 CONTENT = frozenset(("article", "main"))
 #: A new one of these ends an open one of the same kind.
 SELF_ENDING = frozenset("p li dt dd tr td th option".split())
+#: An open element of these keeps what is around it open.
+SCOPES = frozenset("ul ol dl table article main div section td".split())
 #: Blocks whose start ends an open paragraph.
 ENDS_P = BLOCK - frozenset(("body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend"))
+#: Containers inside an article that a page may share with its neighbour as a whole.
+REGION = frozenset("div section ul ol dl table figure blockquote details address center aside nav form header footer".split())
 #: Whole words of class, id or role that name what is not the main text.
-NAMED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?|sidebar|widget\w*"
-    r"|header|masthead|footer|foot|copyright|legal|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|search|login|signup|skip|complementary|contentinfo|navigation)(?:$|[\s_-])"
+_WORDS = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?|sidebar|widget\w*"
+    r"|header|masthead|footer|foot|copyright|legal|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|search|login|signup|skip|complementary|contentinfo|navigation)"
 )
+NAMED = re.compile(rf"(?i)(?:^|[\s_-]){_WORDS}(?:$|[\s_-])")
+#: Inside an article a name counts if it says nothing else: share-buttons, not share-price.
+NAMED_ALONE = re.compile(rf"(?i)(?:^|\s){_WORDS}(?:[_-](?:{_WORDS}|areas?|bars?|blocks?|box|boxes|buttons?|containers?|icons?|links?|lists?|sections?|slots?|units?|wrap|wrapper))*(?:$|\s)")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
@@ -66,39 +77,47 @@ SPACE = re.compile(r"\s+")
 OPEN, TEXT = 0, 1
 
 
-def unwanted(name: str, attributes: str) -> bool:
-    if name in SKIP:
+def unwanted(name: str, attributes: str, content: bool) -> bool:
+    """Whether an element, inside an article or main element if ``content``, is no text."""
+    if name in SKIP and not (content and name == "header"):
         return True
     if not attributes.strip() or name in ("body", "html", "article", "main"):
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id", "role") and NAMED.search(value):
+        if key in ("class", "id", "role") and (name in REGION and NAMED_ALONE.search(value) if content else NAMED.search(value)):
             return True
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"(?i)display\s*:\s*none", value):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[int, str]]:
-    """(OPEN or TEXT, line) of each block that structure does not drop, in page order."""
-    out: list[tuple[int, str]] = []
+def classes(attributes: str) -> str:
+    return "".join("." + ".".join(sorted(value.strip("\"'").split())) for key, value in ATTRIBUTE.findall(attributes) if key.lower() == "class")
+
+
+def blocks(page: str) -> list[tuple[int, int, str, str]]:
+    """(OPEN or TEXT, region, path, line) of each block that structure does not drop, in page order.
+
+    The region is the number of the nearest container inside an article or main element, or of that; else 0."""
+    out: list[tuple[int, int, str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, content
-    at = 0
+    stack: list[tuple[str, bool, bool, int, str]] = []  # name, dropped, content, region, path
+    names: Counter = Counter()
+    regions, at = 0, 0
 
     def flush() -> None:
         if parts:
             line = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if line:
-                out.append((TEXT if stack and stack[-1][2] else OPEN, line))
+                out.append((TEXT if stack and stack[-1][2] else OPEN, stack[-1][3] if stack else 0, stack[-1][4] if stack else "", line))
             parts.clear()
 
     def pop(depth: int) -> None:
         while len(stack) > depth:
             if stack[-1][0] in BLOCK or stack[-1][1]:
                 flush()
-            stack.pop()
+            names[stack.pop()[0]] -= 1
 
     end = len(page)
     while at < end:
@@ -113,9 +132,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         name = m[2].lower()
         if m[1]:  # an end tag closes up to its start, if there is one
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                pop(depth)
+            if names[name] > 0:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             elif name in BLOCK and not (stack and stack[-1][1]):
                 flush()
             continue
@@ -123,19 +141,20 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if not (stack and stack[-1][1]):
                 if name == "hr":
                     flush()
-                else:
-                    parts.append(" " if name in ("br", "wbr", "img") else "")
+                elif name == "br":
+                    parts.append(" ")
             continue
         if name in ENDS_P or name in SELF_ENDING:
-            own = "p" if name in ENDS_P else name
-            depth = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 24), -1) if stack[i][0] in (own, name if name in SELF_ENDING else own)), None)
-            scope = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("ul", "ol", "dl", "table", "article", "main", "div", "section", "td")), -1)
-            if depth is not None and depth > scope:
-                pop(depth)
+            own = ("p" if name in ENDS_P else name, name if name in SELF_ENDING else "")
+            for i in range(len(stack) - 1, max(-1, len(stack) - 24), -1):
+                if stack[i][0] in own:
+                    pop(i)
+                if i < len(stack) and stack[i][0] in SCOPES or i >= len(stack):
+                    break
         if name in BLOCK and not (stack and stack[-1][1]):
             flush()
-        above = stack[-1] if stack else ("", False, False)
-        dropped = above[1] or unwanted(name, m[3])
+        above = stack[-1] if stack else ("", False, False, 0, "")
+        dropped = above[1] or unwanted(name, m[3], above[2])
         if dropped and not above[1]:
             flush()
         if name in RAW:  # raw text: nothing in it is a tag but its own end
@@ -143,7 +162,13 @@ def blocks(page: str) -> list[tuple[int, str]]:
             at = close.end() if close else end
             continue
         if not m[3].endswith("/") or name in BLOCK:
-            stack.append((name, dropped, not dropped and (above[2] or name in CONTENT)))
+            region = above[3]
+            if name in CONTENT or above[2] and name in REGION:
+                regions += 1
+                region = regions
+            path = f"{above[4]}/{name}{classes(m[3])}" if name in BLOCK and len(above[4]) < 1000 else above[4]
+            stack.append((name, dropped, not dropped and (above[2] or name in CONTENT), region, path))
+            names[name] += 1
     flush()
     return out
 
@@ -153,7 +178,7 @@ def _parsed(htmls: pa.Array) -> pa.Array:
     return pa.array([zlib.compress(json.dumps(blocks(x or ""), ensure_ascii=False).encode()) for x in htmls.to_pylist()], pa.binary())
 
 
-def prefix_lengths(x: list[str], y: list[str]) -> np.ndarray:
+def prefix_lengths(x: list, y: list) -> np.ndarray:
     """Lengths of the longest common subsequences of ``x`` with y[:0], y[:1], ... y[:len(y)].
 
     ``y`` is taken in blocks, one step a block and line of ``x``: a bit of ``open_`` turns to 0
@@ -162,7 +187,7 @@ def prefix_lengths(x: list[str], y: list[str]) -> np.ndarray:
     carried, grown = [0] * len(x), []
     for at in range(0, len(y), BLOCK_LINES):
         block = y[at : at + BLOCK_LINES]
-        places: dict[str, int] = {}
+        places: dict = {}
         for j, s in enumerate(block):
             places[s] = places.get(s, 0) | (1 << j)
         full = (1 << len(block)) - 1
@@ -177,7 +202,7 @@ def prefix_lengths(x: list[str], y: list[str]) -> np.ndarray:
     return np.concatenate([[0], *grown]).cumsum(dtype=np.int64)
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Positions in ``a`` of its longest common subsequence with ``b``."""
     lead = 0
     while lead < min(len(a), len(b)) and a[lead] == b[lead]:
@@ -213,14 +238,16 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
+def main_text(own: list, other: list | None) -> str:
     """The text of a page, given the blocks of the page it is paired with."""
-    lines, theirs = [s for _, s in own], [s for _, s in other or []]
+    lines, theirs = [(path, s) for _, _, path, s in own], [(path, s) for _, _, path, s in other or []]
     gone = shared_lines(lines, theirs) if lines and theirs and lines != theirs else set()
-    marked = {i for i, (kind, _) in enumerate(own) if kind == TEXT}
-    if 2 * sum(len(lines[i]) for i in marked & gone) > sum(map(len, lines)):
+    marked = {i for i, block in enumerate(own) if block[0] == TEXT}
+    kept = {own[i][1] for i in marked - gone}  # regions with a line of their own
+    gone = {i for i in gone if i not in marked or own[i][1] not in kept}
+    if 2 * sum(len(lines[i][1]) for i in marked & gone) > sum(len(s) for _, s in lines):
         gone -= marked
-    return "\n".join(s for i, s in enumerate(lines) if i not in gone)
+    return "\n".join(s for i, (_, s) in enumerate(lines) if i not in gone)
 
 
 def start_shared(a: str, b: str) -> int:
@@ -240,7 +267,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for batch in batches:
             for key, url, to, own, host, path, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield key, url, (to, host), path, json.loads(zlib.decompress(packed)), own
+                yield key, url, (to, host), path, [tuple(x) for x in json.loads(zlib.decompress(packed))], own
 
     def result(before, row, after) -> str:
         near = [x for x in (before, after) if x and x[2] == row[2]]
