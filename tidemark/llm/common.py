@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` where it is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The folder that all executors share: ``spark.checkpoint.dir``; only a local session may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or LOCAL_SCRATCH).rstrip("/")
 
 
 def drop_on_exit(spark: SparkSession, path: str) -> None:
