@@ -179,11 +179,44 @@ def test_distrust_flows_back_and_trust_flows_on(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r["page_id"]: r for r in urlrank.judged(df).collect()}
     assert [found[i]["verdict"] for i in range(6)] == ["allow", "block", "block", "allow", "allow", "block"]
-    # One walk by hand: damped shares of the seeds along whole links.
+    # By hand: what hosts without links would lose goes back to the seed, so ranks are shares of 1.
     d = urlrank.DAMPING
-    assert found[3]["trust"] == pytest.approx(d * (1 - d), rel=1e-9)
-    assert found[2]["distrust"] == pytest.approx(d * (1 - d), rel=1e-9)
-    assert found[5]["distrust"] == pytest.approx(d * d * (1 - d), rel=1e-9)
+    assert found[3]["trust"] == pytest.approx(d / (1 + d), abs=1e-3)
+    assert found[2]["distrust"] == pytest.approx(d / (1 + d + d * d), abs=1e-3)
+    assert found[5]["distrust"] == pytest.approx(d * d / (1 + d + d * d), abs=1e-3)
+    assert found[4]["trust"] == found[4]["distrust"] == 0
+
+
+def test_ranks_match_a_plain_pagerank(spark):
+    """A generated link graph with very long urls and repeated links, against dense power iteration."""
+    rng = np.random.default_rng(9)
+    hosts = [f"h{i}.{('org', 'com', 'net')[i % 3]}" for i in range(40)]
+    rows, links = [], np.zeros((40, 40))
+    for page in range(240):
+        i = page % 40
+        to = rng.choice(40, rng.integers(0, 5), replace=False) if i % 7 else []
+        for j in to:
+            links[i, j] += i != j
+        html = "".join(f'<a href="//{hosts[j].upper()}/x">l</a>' * 2 for j in to)
+        rows.append((page, f"http://{hosts[i]}/{('fr', 'de', 'en')[page % 3 if i % 3 == 1 else 2]}/" + "x" * 5000, html))
+    found = urlrank.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    of = {r["host"]: r for r in found}
+    verdicts = [(i % 40, plain_rule(*plain_url(u))[1]) for i, u, _ in rows]
+    ranks = []
+    for verdict, m in (("allow", links), ("block", links.T)):
+        seed = np.bincount([i for i, v in verdicts if v == verdict], minlength=40) / sum(v == verdict for _, v in verdicts)
+        share = m / np.maximum(m.sum(1, keepdims=True), 1)
+        r = seed
+        for _ in range(500):
+            flow = r @ share
+            r = (1 - urlrank.DAMPING) * seed + urlrank.DAMPING * (flow + (1 - flow.sum()) * seed)
+        ranks.append(r)
+    assert all(of[h]["trust"] == pytest.approx(ranks[0][i], abs=1e-3) and of[h]["distrust"] == pytest.approx(ranks[1][i], abs=1e-3) for i, h in enumerate(hosts) if h in of)
+    unruled = [r for r in found if r["rule"] is None]
+    sure = [r for r in unruled if abs(r["trust"] - r["distrust"]) > 2e-3]
+    assert {r["verdict"] for r in sure} == {"allow", "block"}
+    index = {h: i for i, h in enumerate(hosts)}
+    assert all(r["verdict"] == ("block" if ranks[1][index[r["host"]]] > ranks[0][index[r["host"]]] else "allow") for r in sure)
 
 
 def test_components_match_union_find(spark):
