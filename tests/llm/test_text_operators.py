@@ -623,3 +623,18 @@ def test_shared_lines_are_longest_without_a_table(monkeypatch):
         monkeypatch.undo()
         rest = iter(b)
         assert len(without) == len(by_table) and all(a[i] in rest for i in sorted(without))
+
+
+def test_bpe_words_stream_through_bounded_memory(monkeypatch):
+    path = vocabulary_path(ENCODING_VOCABULARY)
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 4)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 500)
+    lists = [["a", " the"], [" the", "zebra", ""], ["b", "a"], [" word", " the"], ["é"], ["c"]]
+    rows = pa.table({"chunk": range(6), "shard": pa.array([0, 0, 0, 1, 1, 2], pa.int32()), "words": pa.array([bpe.pack(word=pa.array(x)) for x in lists], pa.binary())})
+    known = pa.Table.from_batches(bpe._encoded_words(path)(rows.to_batches(max_chunksize=2)))
+    assert known["chunk"].to_pylist() == list(range(6)) and known["shard"].to_pylist() == [0, 0, 0, 1, 1, 2]
+    encode = encoding(path).encode_ordinary
+    for row, words in zip(known.to_pylist(), lists, strict=True):
+        assert bpe.unpack(row["known"]).column(0).to_pylist() == [encode(w) for w in words] and row["words_checksum"] == bpe.checksum(pa.array(words))
+    assert list(bpe.blocks(np.array([3, 3, 3, 4]), np.array([400, 400, 50, 50]))) == [(0, 1), (1, 3), (3, 4)]
+    assert list(bpe.blocks(np.array([]), np.array([]))) == []

@@ -1,8 +1,10 @@
 """Byte-level BPE over a corpus: every distinct word is encoded once and joined back by position.
 
 A pass over the texts splits them into pre-tokens and packs each chunk's distinct words by hash
-shard. The shards meet in one global shuffle, where every distinct word is encoded once. A second
-pass packs each chunk's documents as word positions; the encoded words come back to their chunk,
+shard. The shards meet in one global shuffle, where every distinct word of a shard is encoded once.
+Its partitions are rebalanced by their size, and words stream through a table of known words that
+holds at most ``KNOWN_WORDS``: neither grows with the corpus. A word is encoded again only where its
+shard was cut for size or the table was full. A second pass packs each chunk's documents as word positions; the encoded words come back to their chunk,
 and the documents are reassembled by position. So the shuffles carry distinct words of
 chunks and compressed positions, never a row per pre-token. Chunks are bounded by their text.
 
@@ -39,6 +41,9 @@ from .tokenizers import ENCODING_VOCABULARY, encoding, token_bytes, vocabulary_p
 CHUNK_CHARS = 8 << 20
 SLICE_CHARS = 1 << 20
 SHARDS_PER_PARTITION = 4
+#: Words whose ids a task keeps while it is at one shard, and packed bytes that it opens at once.
+KNOWN_WORDS = 2_000_000
+BLOCK_BYTES = 8 << 20
 
 
 def pack(*, level: int = 1, **columns: pa.Array) -> bytes:
@@ -122,14 +127,37 @@ def encode_words(words: pa.Array, path: str) -> pa.Array:
     return pa.array([encode(w) for w in words.to_pylist()], pa.list_(pa.uint32()))
 
 
-def _encoded_shard(path: str):
-    def run(rows: pa.Table) -> pa.Table:
-        lists = [unpack(b).column(0) for b in rows["words"].to_pylist()]
-        distinct = pa.chunked_array(lists).unique()
-        ids = encode_words(distinct, path)
-        known = [pack(ids=ids.take(pc.index_in(x, distinct))) for x in lists]
-        checks = pa.array([checksum(x) for x in lists], pa.int64())
-        return pa.table({"chunk": rows["chunk"], "shard": rows["shard"], "words_checksum": checks, "known": pa.array(known, pa.binary())})
+def blocks(shards: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of one shard that hold about ``BLOCK_BYTES`` at most."""
+    begin, held = 0, 0
+    for i in range(len(shards)):
+        if i > begin and (shards[i] != shards[begin] or held + sizes[i] > BLOCK_BYTES):
+            yield begin, i
+            begin, held = i, 0
+        held += sizes[i]
+    if begin < len(shards):
+        yield begin, len(shards)
+
+
+def _encoded_words(path: str):
+    """Packed ids of packed words; rows come sorted by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, distinct, ids = None, pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        for rows in batches:
+            shard, known, checks = rows["shard"].to_numpy(), [], []
+            for begin, end in blocks(shard, pc.binary_length(rows["words"]).to_numpy()):
+                lists = [unpack(b).column(0) for b in rows["words"].slice(begin, end - begin).to_pylist()]
+                if shard[begin] != at or len(distinct) > KNOWN_WORDS:
+                    at, distinct, ids = shard[begin], distinct[:0], ids[:0]
+                fresh = pa.chunked_array(lists).unique()
+                fresh = fresh.filter(pc.invert(pc.is_in(fresh, distinct)))
+                distinct, ids = pa.concat_arrays([distinct, fresh]), pa.concat_arrays([ids, encode_words(fresh, path)])
+                known += [pack(ids=ids.take(pc.index_in(x, distinct))) for x in lists]
+                checks += [checksum(x) for x in lists]
+            yield pa.RecordBatch.from_arrays(
+                [rows["chunk"], rows["shard"], pa.array(checks, pa.int64()), pa.array(known, pa.binary())], ["chunk", "shard", "words_checksum", "known"]
+            )
 
     return run
 
@@ -189,7 +217,8 @@ def encoded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabular
     shards = SHARDS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     words = texts.mapInArrow(_word_lists(shards), "chunk long, shard int, words binary")
-    known = words.groupBy("shard").applyInArrow(_encoded_shard(path), "chunk long, shard int, words_checksum long, known binary")
+    balanced = words.hint("rebalance", "shard").sortWithinPartitions("shard")
+    known = balanced.mapInArrow(_encoded_words(path), "chunk long, shard int, words_checksum long, known binary")
     docs = texts.mapInArrow(_documents, "chunk long, docs binary, words binary, positions binary")
     schema = "doc_id long, ids binary" + (", decoded binary" if decode else "")
     return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_joined(path, shards, decode), schema)
