@@ -99,12 +99,20 @@ def test_dense_leaf_is_linked_without_all_pairs():
     assert (root == label).all()
 
 
-def test_every_link_shares_a_leaf(spark):
-    pairs = spark.createDataFrame([(x, simhash.signed(x ^ (1 << a) ^ (1 << b))) for x in (5, 2**61 + 7) for a in range(0, 64, 3) for b in range(1, 64, 5)], "a long, b long")
+def test_every_link_meets_in_a_shard(spark):
     from pyspark.sql import functions as F
 
-    met = [simhash.leaf(F.col("a"), m, t) == simhash.leaf(F.col("b"), m, t) for t, m in enumerate(simhash.masks())]
-    assert pairs.where(~F.array_contains(F.array(*met), True)).count() == 0
+    pairs = [(x, simhash.signed(x ^ (1 << a) ^ (1 << b))) for x in (5, 2**61 + 7) for a in range(0, 64, 3) for b in range(1, 64, 5)]
+    pairs += [(9, simhash.signed(9 ^ (1 << a))) for a in range(64)]
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    went = simhash.shards(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()).cache()
+    assert went.groupBy("fp").agg(F.count("*").alias("n"), F.count_if("stored").alias("own")).where("n > 66 or own <> 2").count() == 0
+    a, b = went.selectExpr("fp as a", "leaf", "stored as sa"), went.selectExpr("fp as b", "leaf", "stored as sb")
+    met = a.join(b, "leaf").where("sa or sb").select("a", "b")
+    assert pairs.join(met, ["a", "b"], "left_anti").count() == 0
+    far = spark.createDataFrame([(0, 7 | 7 << 32), (0, 3 | 3 << 32)], "a long, b long")
+    apart = simhash.shards(far.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    assert apart.where("stored").groupBy("leaf").count().where("count > 1").count() == 0
 
 
 def plain_similar(rows):

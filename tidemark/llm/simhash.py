@@ -12,11 +12,12 @@ Two ways to use it:
 A tree works on a sub-metric, the Hamming distance on some of the bits. Its levels are vantage
 points: every fingerprint goes down the branch of its ring, its distance from the vantage point.
 By the triangle bound, rings of two fingerprints differ by no more than their distance in the
-sub-metric. Of four 16-bit blocks, two fingerprints at 2 or fewer bits share at least two blocks
-entirely: in the tree of those blocks their distance is 0, and every ring outside the own one is
-pruned. So six trees, one for each two blocks, find every link, and a fingerprint is sent to six
-leaves whatever the size of the corpus, where a median split on all 64 bits would overlap the
-boundary with about half of them at each level.
+sub-metric. Of two 32-bit halves, two fingerprints at 2 or fewer bits differ in at most 1 bit of
+one half. So there are two trees, one on each half with radius 1: a fingerprint is stored in the
+shard of its rings, and asks the shards across a boundary that a point at distance 1 can lie in,
+32 at most whatever the size of the corpus; every other shard is pruned. As two halves at distance
+1 have bit counts of different parity, only those of even parity ask. (A median split on all 64
+bits would overlap the boundary with about half of the fingerprints at each level.)
 
 The leaves are the shards. Within a leaf the full metric is searched by a local tree with
 boundary overlap; a leaf so dense that no vantage point splits it is linked exactly
@@ -38,6 +39,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ from .components import roots
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-BLOCK_BITS = 16
+HALF_BITS = 32
 LEVELS = 12
 PAIRWISE = 256
 
@@ -107,9 +109,16 @@ def leaf(fp: Column, mask: int, tree: int, levels: int = LEVELS) -> Column:
 
 
 def masks() -> list[int]:
-    block = (1 << BLOCK_BITS) - 1
-    blocks = [block << (BLOCK_BITS * i) for i in range(64 // BLOCK_BITS)]
-    return [a | b for a, b in combinations(blocks, len(blocks) - RADIUS)]
+    """The two halves; each has a tree."""
+    half = (1 << HALF_BITS) - 1
+    return [half, half << HALF_BITS]
+
+
+def visits(fp: Column, mask: int) -> Column:
+    """Points whose shards a fingerprint goes to: its own half first, then, if that is of even parity, all at distance 1."""
+    own = fp.bitwiseAND(F.lit(signed(mask)).cast("long"))
+    near = [own.bitwiseXOR(F.lit(signed(1 << bit)).cast("long")) for bit in range(64) if mask >> bit & 1]
+    return F.when(F.bit_count(own) % 2 == 0, F.array(own, *near)).otherwise(F.array(own))
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,10 +189,8 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             continue
         keys = whole[key].to_numpy()
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        ends = np.append(edges[1:], len(keys))
-        for a, b in zip(edges[:-1], ends[:-1], strict=True):
-            if b - a > 1:
-                yield whole.slice(a, b - a)
+        for i in np.flatnonzero(np.diff(edges) > 1):
+            yield whole.slice(edges[i], edges[i + 1] - edges[i])
         held = [whole.slice(edges[-1])]
     if held and held[0].num_rows > 1:
         yield held[0]
@@ -191,7 +198,9 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard in grouped(batches, "leaf"):
-        own = shard["fp"].to_numpy()
+        if not pc.any(shard["stored"]).as_py():  # nobody lives here whom the askers could meet
+            continue
+        own = np.unique(shard["fp"].to_numpy())
         fps = own.view(np.uint64)
         root = local_roots(len(fps), *near_pairs(fps))
         apart = root != np.arange(len(fps))
@@ -199,12 +208,19 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own[apart]), pa.array(own[root[apart]])], ["u", "v"])
 
 
+def shards(fps: DataFrame) -> DataFrame:
+    """fp, leaf and whether the fingerprint is stored there or only asks."""
+    trees = []
+    for t, mask in enumerate(masks()):
+        points = fps.select("fp", F.posexplode(visits(F.col("fp"), mask)).alias("at", "point"))
+        trees.append(points.select("fp", leaf(F.col("point"), mask, t).alias("leaf"), (F.col("at") == 0).alias("stored")))
+    return trees[0].unionByName(trees[1])
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) that connect distinct fingerprints (column fp) within RADIUS bits."""
-    trees = F.explode(F.array(*[leaf(F.col("fp"), mask, t) for t, mask in enumerate(masks())]))
-    shards = fps.select("fp", trees.alias("leaf"))
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_leaf_links, "u long, v long")
+    return shards(fps).repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_leaf_links, "u long, v long")
 
 
 def linked(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
