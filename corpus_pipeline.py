@@ -1,66 +1,10 @@
-"""A corpus pipeline: quality, near-duplicates, personal data, packing.
-
-Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the
-columns of ``docs`` (the last one returns packed pieces). Rows without an id are never dropped.
-"""
+"""A corpus pipeline: quality, near-duplicates, personal data, packing; see ``tidemark.llm.stages``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import packing, pii, quality, simhash
-from tidemark.llm.common import table, written
-
-#: Ids to drop are broadcast up to this number (16 bytes each), and joined by a shuffle beyond it.
-BROADCAST_IDS = 2_000_000
-
-
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``."""
-    ids, _ = written(ids.select("doc_id").distinct(), "dropped-ids")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is like that of trusted ones in their language."""
-    verdicts = quality.judged(docs, table(spark, sf_dir, "labels"))
-    return without(docs, verdicts.where(~F.col("keep")))
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    groups = simhash.similar(docs)
-    kept = without(docs, groups.where("doc_id <> component_id"))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
-    if not repeated.head(1):
-        return kept
-    repeated, _ = written(repeated, "repeated-ids")
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind."""
-    clean = pii.redacted(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in training windows, one row per piece."""
-    return packing.packed(docs)
-
-
-STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("pii", pii_stage), ("packing", packing_stage)]
+from tidemark.llm.stages import STAGES, run
 
 #: SQL can express neither the model of the first stage nor the tokenizer of the last.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

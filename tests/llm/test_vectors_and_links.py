@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, components, topk, urlrank
+from tidemark.llm import ann, components, stages, topk, urlrank
 
 SF = "/root/testdata/sf0.01"
+STAGE = dict(corpus_pipeline.STAGES)
 
 
 def vectors(spark, rows):
@@ -264,7 +265,32 @@ def test_pipeline_edges(spark):
     docs = spark.createDataFrame(rows, schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("1 = 0"), SF).count() == 0, name
-    kept = corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()
+    kept = STAGE["near_dedup"](spark, docs, SF).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept) == [(False, 1), (False, 2), (False, 3), (True, None)]
-    clean = {r["doc_id"]: r for r in corpus_pipeline.pii_stage(spark, docs, SF).collect()}
+    clean = {r["doc_id"]: r for r in STAGE["pii"](spark, docs, SF).collect()}
     assert clean[3]["text"] == "mail me [EMAIL] now" and clean[3]["n_chars"] == 19 and clean[2]["text"] is None
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    first, other, third = "one two three four five six seven", "a wholly different clean text of some words", "nothing like the others is said here now"
+    rows = [(1, first, 9), (1, other, 9), (2, first, 9), (2, third, 9), (None, third, 9), (None, first, 9), (None, "only here and without an id at all", 9), (None, "only here and without an id at all", 9), (7, other, 9), (2**62, None, 9), (2**62, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").withColumn("_digest", F.lit("x")).withColumn("_number", F.lit(1))
+    kept = STAGE["near_dedup"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert sorted(t or "" for _, t in found) == sorted([first, other, third, "only here and without an id at all", ""])
+    assert (7, other) in found  # the id of one text only comes first
+
+
+def test_quality_drops_only_the_rejected_text_of_an_id(spark):
+    words = ["the cat sat on the mat", "a dog ran to the cat", "the mat and the dog", "cats sit and dogs run on"]
+    rows = [(i, words[i % 4] + f" and the cat ran {i % 4} times", "en") for i in range(40)] + [(0, "zzqq xxvv kkjj qqxx zzvv", "en"), (100, "the cat ran to the mat", "en"), (100, "zzqq xxvv kkjj qqxx zzvv", "en"), (None, "the dog sat", "en"), (None, "qqxx zzvv jjkk", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    verdicts = stages.quality.judged(stages.named(docs, "_row"), labels, row="_row")
+    assert verdicts.select("doc_id").distinct().count() == len(rows)
+    gone = {r["doc_id"] for r in verdicts.collect() if not r["keep"]}
+    named = {r["_row"]: (r["doc_id"], r["text"]) for r in stages.named(docs, "_row").collect()}
+    assert {t for i, t in named.values() if "zzqq" in t} <= {named[g][1] for g in gone}
+    clean = stages.without(stages.named(docs, "_row"), verdicts.where("not keep"), "_row")
+    assert {r["text"] for r in clean.collect() if r["doc_id"] == 100} == {"the cat ran to the mat"}

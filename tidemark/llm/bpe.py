@@ -22,6 +22,7 @@ none; only the named columns are read. ``ids`` are packed as little-endian unsig
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,8 +42,8 @@ from .tokenizers import ENCODING_VOCABULARY, encoding, token_bytes, vocabulary_p
 CHUNK_CHARS = 8 << 20
 SLICE_CHARS = 1 << 20
 SHARDS_PER_PARTITION = 4
-#: Words whose ids a task keeps while it is at one shard, and packed bytes that it opens at once.
-KNOWN_WORDS = 2_000_000
+#: Words whose ids a task keeps while it is at one shard (some 150 bytes each), and packed bytes that it opens at once.
+KNOWN_WORDS = 1_000_000
 BLOCK_BYTES = 8 << 20
 
 
@@ -143,20 +144,28 @@ def _encoded_words(path: str):
     """Packed ids of packed words; rows come sorted by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, distinct, ids = None, pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        encode = encoding(path).encode_ordinary
+        at, known = None, {}  # the ids of the words of one shard, packed
         for rows in batches:
-            shard, known, checks = rows["shard"].to_numpy(), [], []
+            shard, out, checks = rows["shard"].to_numpy(), [], []
             for begin, end in blocks(shard, pc.binary_length(rows["words"]).to_numpy()):
                 lists = [unpack(b).column(0) for b in rows["words"].slice(begin, end - begin).to_pylist()]
-                if shard[begin] != at or len(distinct) > KNOWN_WORDS:
-                    at, distinct, ids = shard[begin], distinct[:0], ids[:0]
-                fresh = pa.chunked_array(lists).unique()
-                fresh = fresh.filter(pc.invert(pc.is_in(fresh, distinct)))
-                distinct, ids = pa.concat_arrays([distinct, fresh]), pa.concat_arrays([ids, encode_words(fresh, path)])
-                known += [pack(ids=ids.take(pc.index_in(x, distinct))) for x in lists]
+                if shard[begin] != at or len(known) > KNOWN_WORDS:
+                    at, known = shard[begin], {}
+                # One look at the known words for each distinct word of the block.
+                block = pa.concat_arrays(lists).dictionary_encode()
+                words = block.dictionary.to_pylist()
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(encode(w), "<u4").tobytes()
+                packed = [known[w] for w in words]
+                ends = np.cumsum([0, *map(len, packed)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4")))
+                begins = np.cumsum([0, *map(len, lists)])
+                out += [pack(ids=ids.take(block.indices.slice(a, b - a))) for a, b in itertools.pairwise(begins)]
                 checks += [checksum(x) for x in lists]
             yield pa.RecordBatch.from_arrays(
-                [rows["chunk"], rows["shard"], pa.array(checks, pa.int64()), pa.array(known, pa.binary())], ["chunk", "shard", "words_checksum", "known"]
+                [rows["chunk"], rows["shard"], pa.array(checks, pa.int64()), pa.array(out, pa.binary())], ["chunk", "shard", "words_checksum", "known"]
             )
 
     return run

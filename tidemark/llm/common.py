@@ -48,6 +48,22 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
+#: Paths of written tables, for each block of :func:`recorded` that is open.
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables that are written inside the block."""
+    _recorders.append([])
+    try:
+        yield _recorders[-1]
+    finally:
+        paths = _recorders.pop()
+        if _recorders:
+            _recorders[-1] += paths
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
@@ -58,6 +74,8 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     drop_on_exit(spark, path)
+    if _recorders:
+        _recorders[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-import corpus_pipeline
-
-from . import topk
+from . import stages, topk
 
 _MODULES = {
     "op1_topk": "topk",
@@ -25,9 +23,8 @@ _MODULES = {
 
 def queries() -> dict[str, Callable]:
     found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
-    return found | {"pipeline": corpus_pipeline.run}
+    return found | {"pipeline": stages.run}
 
 
 def oracles() -> dict[str, str]:
-    found = {"op1_topk": topk.ORACLE_OP1}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_topk": topk.ORACLE_OP1}
