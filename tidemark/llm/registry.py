@@ -18,6 +18,9 @@ _MODULES = {
     "op8_quality": "quality",
     "op9_url_filter": "urlrank",
     "op10_bpe": "bpe",
+    "op11_mixing": "mixing",
+    "op12_periods": "periods",
+    "op13_spelling": "spelling",
 }
 
 
