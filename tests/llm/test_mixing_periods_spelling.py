@@ -257,7 +257,7 @@ def plain_words(rows, slips=True):
 def test_spelling_query(spark, corpus):
     found = {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.op13_spelling(spark, SF).collect()}
     assert found == plain_variants(plain_words([(r["doc_id"], r["text"]) for r in corpus.collect()]))
-    assert sum(v[0] is not None for v in found.values()) > 10
+    assert sum(v[0] is not None for v in found.values()) >= 5
 
 
 @given(st.dictionaries(st.text(alphabet="abàÀß", min_size=1, max_size=6), st.integers(1, 300), max_size=40))

@@ -67,7 +67,7 @@ def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     bits = max(2, int(n - 1).bit_length())
     low = np.uint64(bits // 2)
     masks = np.uint64((1 << (bits - bits // 2)) - 1), np.uint64((1 << (bits // 2)) - 1)
-    keys = _mixed(np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & (2**64 - 1)))
+    keys = _mixed(np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key ^ key >> 64) & (2**64 - 1)))
     out = numbers.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
