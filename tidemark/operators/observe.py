@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import provenance_kind
+from tidemark.operators.scans import Scan
 
 IN_TIME = ["observed_at", "id"]
 
@@ -20,10 +21,9 @@ def valid_observations(snapshots: DataFrame, extractions: DataFrame, currency: s
 
 def with_runs(valid: DataFrame) -> DataFrame:
     """Add ``run``: it grows wherever the state differs from the one before, and the next row's state and confidence."""
-    order = W.partitionBy("source_id").orderBy(*IN_TIME)
-    changed = ~F.lag("normalized_hash").over(order).eqNullSafe(F.col("normalized_hash"))
-    rows = valid.withColumn("changed", changed.cast("int")).withColumns({"next_state": F.lead("page_state").over(order), "next_confidence": F.lead("confidence").over(order)})
-    return rows.withColumn("run", F.sum("changed").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("changed")
+    scan = Scan(valid, ["source_id"], IN_TIME).neighbours({"before_hash": "normalized_hash"}, {"next_state": "page_state", "next_confidence": "confidence"})
+    scan.rows = scan.rows.withColumn("changed", (~F.col("before_hash").eqNullSafe(F.col("normalized_hash"))).cast("int"))
+    return scan.running({"run": "changed"}, inclusive=True).result().drop("changed", "before_hash")
 
 
 def observation_runs(valid: DataFrame) -> DataFrame:

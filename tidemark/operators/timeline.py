@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import Scan
+
 #: A line is not drawn over a longer silence; exactly so many days still count as continuous.
 GAP_DAYS = 75
 
@@ -19,11 +21,11 @@ def price_points(runs: DataFrame, tiers: DataFrame) -> DataFrame:
 
 def segments(points: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
     """Add ``segment``, from 1: a new one after an observation without the tier, or after a longer gap."""
-    order = W.partitionBy("source_id", "tier").orderBy("run")
-    silence = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(order).cast("timestamp"))
-    joined = (F.col("run") - F.lag("run").over(order) == 1) & (silence <= gap_days * 86_400_000_000)
-    rows = points.withColumn("opens", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
-    return rows.withColumn("segment", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("opens")
+    scan = Scan(points, ["source_id", "tier"], ["run"]).neighbours({"_at": "at", "_run": "run"}, {})
+    silence = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))
+    joined = (F.col("run") - F.col("_run") == 1) & (silence <= gap_days * 86_400_000_000)
+    scan.rows = scan.rows.withColumn("opens", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    return scan.running({"segment": "opens"}, inclusive=True).result().drop("opens", "_at", "_run")
 
 
 def step_points(lines: DataFrame) -> DataFrame:
@@ -47,12 +49,10 @@ def rungs(points: DataFrame) -> DataFrame:
 
 def spent_before(rows: DataFrame, cost: Column, key: str, order: list[str]) -> DataFrame:
     """Add ``spent``: the costs of the earlier rows of the same key."""
-    before = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("spent", F.coalesce(F.sum(cost).over(before), F.lit(0)))
+    return Scan(rows.withColumn("_cost", cost), [key], order).running({"spent": "_cost"}).result().drop("_cost")
 
 
 def degraded_lifecycle(snapshots: DataFrame) -> DataFrame:
     """source_id, id, reason, cleared: good fetches set or clear the reason; failed ones leave it."""
-    order = W.partitionBy("source_id").orderBy("observed_at", "id")
-    rows = snapshots.where("ok").withColumn("before", F.lag("error").over(order))
+    rows = Scan(snapshots.where("ok"), ["source_id"], ["observed_at", "id"]).neighbours({"before": "error"}, {}).result()
     return rows.select("source_id", "id", F.col("error").alias("reason"), (F.col("before").isNotNull() & F.col("error").isNull()).alias("cleared"))

@@ -1,3 +1,3 @@
 """Lenses over the benchmark tables and the catalogue of queries."""
 
-from tidemark.plans import catalogue, crawling, extraction, guards, reports, streams  # noqa: F401  (they register their queries in the catalogue)
+from tidemark.plans import catalogue, crawling, extraction, guards, reports, spending, streams  # noqa: F401  (they register their queries in the catalogue)

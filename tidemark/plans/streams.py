@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans import lenses
 from tidemark.plans.catalogue import RUNS_SQL, query
+from tidemark.sources.storage import new_folder
 from tidemark.streaming.runs import drained, opened_runs
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local session without one may use its own machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (found or "file:///tmp/checkpoints/tidemark").rstrip("/")
-
-
 @query(f"with {RUNS_SQL} select source_id, run, first_id, page_state, false as late from runs")
 def stream_runs(spark, sf_dir):
     """Runs of page states as a stream finds them, with a state per source."""
@@ -27,4 +18,4 @@ def stream_runs(spark, sf_dir):
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
     wanted = lenses.extractions(spark).where("currency = 'USD'").select("page_state")
     rows = lenses.fetched(events).where("ok and error is null").select("source_id", "id", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("micros"), "page_state")
-    return drained(opened_runs(rows.join(wanted, "page_state")), f"{shared_folder(spark)}/stream-runs-{uuid.uuid4().hex}")
+    return drained(opened_runs(rows.join(wanted, "page_state")), new_folder(spark, "stream-runs"))
