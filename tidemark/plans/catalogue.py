@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import expressions as X
 from tidemark.operators import changes, match, observe
 from tidemark.plans import lenses
+from tidemark.sources import storage
 from tidemark.plans.lenses import AS_OF, EXTRACTIONS_SQL, RATES_SQL, SNAPSHOTS_SQL, TIERS_SQL, table
 
 FLAGSHIP = "price_changes_scored"
@@ -79,13 +80,17 @@ def next_raw_observation(spark, sf_dir):
 #: What changes between two states is worked out once for each two that follow each other somewhere, and joined to the pairs.
 
 
+#: Pairs of states that are matched in one task.
+FEW_STATES = 20_000
+
+
 def _state_pairs(pairs: DataFrame) -> DataFrame:
     """pair_id, before_state and after_state of every two states that follow each other."""
     return pairs.select("before_state", "after_state").distinct().withColumn("pair_id", F.concat_ws(">", "before_state", "after_state"))
 
 
 def _on(pairs: DataFrame, rows: DataFrame, side: str) -> DataFrame:
-    return pairs.select("pair_id", F.col(f"{side}_state").alias("page_state")).join(rows, "page_state")
+    return pairs.select("pair_id", F.col(f"{side}_state").alias("page_state")).join(F.broadcast(rows), "page_state")  # of 16 states
 
 
 def _state_changes(spark: SparkSession, pairs: DataFrame) -> DataFrame:
@@ -98,10 +103,12 @@ def _state_changes(spark: SparkSession, pairs: DataFrame) -> DataFrame:
 
 
 def _source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).drop("pair_id")
-    states = _state_pairs(pairs)
-    found = _state_changes(spark, states).join(states, "pair_id").drop("pair_id")
-    return pairs.join(found, ["before_state", "after_state"])
+    pairs = storage.written(_pairs(spark, sf_dir).drop("pair_id"), "pairs")
+    states = storage.written(_state_pairs(pairs), "state-pairs")
+    if states.count() <= FEW_STATES:
+        states = states.coalesce(1)  # matching has a dozen windows over a pair: none of them shuffles one partition
+    found = storage.written(_state_changes(spark, states).join(states, "pair_id").drop("pair_id"), "state-changes")
+    return pairs.join(storage.small(found), ["before_state", "after_state"])
 
 
 _NAME = r"trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g'), '\b(plan|tier)\b', '', 'g'))"
@@ -213,7 +220,7 @@ def _confirmed(spark, sf_dir) -> DataFrame:
     """Material changes with their state by the next look at the page."""
     rows = _source_changes(spark, sf_dir).where(F.col("materiality") >= X.THRESHOLD)
     looks = changes.values_at(lenses.tiers(spark), lenses.rates(spark), lenses.extractions(spark))
-    rows = rows.join(looks.select(F.col("page_state").alias("next_state"), "json_path", F.col("value").alias("next_value")), ["next_state", "json_path"], "left")
+    rows = rows.join(F.broadcast(looks.select(F.col("page_state").alias("next_state"), "json_path", F.col("value").alias("next_value"))), ["next_state", "json_path"], "left")
     low = (F.col("after_confidence") == "low") | (F.col("next_confidence") == "low")
     return changes.confirmed(rows.withColumns({"next_seen": F.col("next_state").isNotNull(), "low": low}))
 

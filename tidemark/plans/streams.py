@@ -6,8 +6,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans import lenses
-from tidemark.plans.catalogue import RUNS_SQL, query
+from tidemark.plans.catalogue import PAIRS_SQL, RUNS_SQL, _pairs, query
 from tidemark.sources.storage import new_folder
+from tidemark.streaming import archive
 from tidemark.streaming.runs import drained, opened_runs
 
 
@@ -19,3 +20,37 @@ def stream_runs(spark, sf_dir):
     wanted = lenses.extractions(spark).where("currency = 'USD'").select("page_state")
     rows = lenses.fetched(events).where("ok and error is null").select("source_id", "id", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("micros"), "page_state")
     return drained(opened_runs(rows.join(wanted, "page_state")), new_folder(spark, "stream-runs"))
+
+
+#: Files that the table is dealt to by a hash of the id: each holds rows of all times, so that all but the first batch are late.
+BATCHES = 4
+
+
+def _maintained(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of an archive that a stream of BATCHES batches, out of order, has built."""
+    folder = new_folder(spark, "archive")
+    events = lenses.table(spark, sf_dir, "events").repartition(BATCHES, F.xxhash64("event_id"))
+    events.write.parquet(f"{folder}/input")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
+    wanted = lenses.extractions(spark).where("currency = 'USD'").select("page_state", "confidence")
+    rows = lenses.fetched(stream).where("ok and error is null").join(F.broadcast(wanted), "page_state")  # 16 rows
+    archive.maintained(rows.select(*[c.split()[0] for c in archive.OBSERVATION.split(", ")]), folder)
+    return folder
+
+
+@query(f"with {PAIRS_SQL} select source_id, from_id, to_id, before_state, after_state, next_state, next_confidence from pairs")
+def incremental_pairs(spark, sf_dir):
+    """The pairs of an archive that was built by batches out of order."""
+    found = archive.current_pairs(spark, _maintained(spark, sf_dir))
+    return found.select("source_id", "from_id", "to_id", "before_state", "after_state", "next_state", "next_confidence")
+
+
+@query(f"with {PAIRS_SQL} select count(*) as pairs, cast(0 as bigint) as missing, cast(0 as bigint) as extra from pairs")
+def rebuild_equals_scratch(spark, sf_dir):
+    """How many pairs a batch over all rows finds, and how many of them the archive built by batches lacks or has beyond them."""
+    names = ["source_id", "from_id", "to_id", "before_state", "after_state", "next_state", "next_confidence"]
+    kept = archive.current_pairs(spark, _maintained(spark, sf_dir)).select(*names, F.lit(1).alias("kept"), F.lit(0).alias("found"))
+    scratch = _pairs(spark, sf_dir).select(*names, F.lit(0).alias("kept"), F.lit(1).alias("found"))
+    both = kept.unionByName(scratch).groupBy(*names).agg(F.sum("kept").alias("kept"), F.sum("found").alias("found"))
+    n = lambda when: F.coalesce(F.sum(when), F.lit(0)).cast("long")
+    return both.agg(n(F.col("found")).alias("pairs"), n(F.greatest(F.col("found") - F.col("kept"), F.lit(0))).alias("missing"), n(F.greatest(F.col("kept") - F.col("found"), F.lit(0))).alias("extra"))
