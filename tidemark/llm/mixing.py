@@ -45,6 +45,8 @@ SEED = 20_250
 #: Rows of one place that prefix sums are taken over, and equal rows that are laid out at once.
 PLACE_ROWS = 100_000
 COPIES = 10_000
+#: Slots that a task lays out.
+TASK_SLOTS = 1_000_000
 #: Targets are broadcast for up to this many sources, and joined by a shuffle beyond it.
 BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -181,15 +183,18 @@ def mixture(
     blocks = F.ceil(F.col("source_size") / block)
     quota = F.least(most * blocks, F.round(F.col("target") * blocks / F.col("source_size")).cast("long"))
     quotas = goal.where("source_size > 0").select("source", blocks.alias("blocks"), quota.alias("quota"))
-    shards = max(1, -(-(quotas.agg(F.sum("quota")).head()[0] or 0) // SHARD_BLOCKS))
+    slots = quotas.agg(F.sum("quota")).head()[0] or 0
+    shards = max(1, -(-slots // SHARD_BLOCKS))
+    # Few small rows become many slots: the number of tasks is that of the slots, and no plan may take their size from the rows.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slots // TASK_SLOTS))
     drawn = quotas.repartition("source").mapInArrow(_drawn(shards, seed), "source string, blocks long, shard long, first long, count long")
-    dealt = drawn.repartition("source", "shard").mapInArrow(_slots(seed), "source string, index long, shard long, slot long")
+    dealt = drawn.repartition(tasks, "source", "shard").mapInArrow(_slots(seed), "source string, index long, shard long, slot long")
     last = F.floor((F.col("at") + F.col("size") - 1) / block)
     spans = docs.where("size > 0").select("source", "doc_id", "digest", "size", "at", F.explode(F.sequence(F.floor(F.col("at") / block), last)).alias("index"))
     begin = F.greatest(F.col("index") * block, F.col("at"))
     spans = spans.select("source", "index", "doc_id", "digest", "at", (begin - F.col("at")).alias("start"), (F.least((F.col("index") + 1) * block, F.col("at") + F.col("size")) - begin).alias("length"))
     dealt = dealt.withColumnsRenamed({"source": "_source", "index": "_index"})
-    pieces = spans.join(dealt, (F.col("index") == F.col("_index")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_index")
+    pieces = spans.hint("merge").join(dealt.hint("merge"), (F.col("index") == F.col("_index")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_index")
     goal = goal.withColumnRenamed("source", "_source")
     goal = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
     whole = docs.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
