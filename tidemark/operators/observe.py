@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.documents import schema_violations
 from tidemark.functions.expressions import provenance_kind
 from tidemark.operators.scans import Scan
 
@@ -19,6 +20,12 @@ def valid_observations(snapshots: DataFrame, extractions: DataFrame, currency: s
     return good.select("source_id", "id", "observed_at", "page_state", "normalized_hash", "provenance").join(wanted, "normalized_hash")
 
 
+def sound_extractions(extractions: DataFrame, version: str) -> DataFrame:
+    """Extractions of one version of the prompt whose document (``data``) has the right shape; the others anchor nothing."""
+    sound = F.size(schema_violations(F.col("data"))) == 0
+    return extractions.where((F.col("prompt_version") == version) & sound)
+
+
 def with_runs(valid: DataFrame) -> DataFrame:
     """Add ``run``: it grows wherever the state differs from the one before, and the next row's state and confidence."""
     scan = Scan(valid, ["source_id"], IN_TIME).neighbours({"before_hash": "normalized_hash"}, {"next_state": "page_state", "next_confidence": "confidence"})
