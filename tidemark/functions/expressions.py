@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRICE = r"[$€£]\s?[0-9]"
+#: White space of every script, not of ASCII alone.
+SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+PRICE = rf"[$€£]{SPACE}?[0-9]"
 # Points of each kind of change, and the words that a metric's identity ignores.
 POINTS = {
     "tier_added": 100, "tier_removed": 100, "price_changed": 80, "billing_unit_changed": 70, "flag_changed": 60, "seats_changed": 50,
@@ -40,8 +42,8 @@ def normal_metric(c: Column) -> Column:
 
 def json_text(c: Column) -> Column:
     """A string as JSON, null as null."""
-    safe = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.coalesce(F.concat(F.lit('"'), safe, F.lit('"')), F.lit("null"))
+    whole = F.to_json(F.struct(c.alias("v")))  # {"v":"..."}
+    return F.when(c.isNull(), "null").otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
 
 
 def json_number(c: Column) -> Column:
@@ -49,17 +51,33 @@ def json_number(c: Column) -> Column:
 
 
 def plain_value(c: Column) -> Column:
-    """A JSON scalar as text; null is none."""
-    text = F.when(c.startswith('"'), F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
-    return F.when(c.isNull() | (c == "null"), "none").otherwise(text)
+    """A JSON value as text: null and what is no JSON are none, a list's items stand between commas, an object has no text of its own."""
+    scalar = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]
+    items = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    listed = F.array_join(F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))), ",")
+    text = F.when(c.startswith('"'), scalar).when(c.startswith("["), listed).when(c.startswith("{"), "[object Object]").otherwise(c)
+    return F.when(c.isNull() | (c == "null"), "none").otherwise(F.coalesce(text, F.lit("none")))
 
 
 def money(c: Column) -> Column:
-    """A JSON number in dollars, thousands apart, three decimals at most."""
-    number = c.cast("double")
-    whole = F.format_number(F.floor(number), 0)
-    part = F.regexp_replace(F.format_string("%.3f", number), r"^-?[0-9]+|\.?0+$", "")
-    return F.concat(F.lit("$"), F.when(number == F.floor(number), whole).otherwise(F.concat(whole, part)))
+    """A JSON number in dollars, thousands apart, rounded to three decimals at most."""
+    number = F.round(c.cast("double").cast("decimal(30,10)"), 3)
+    size = F.abs(number).cast("decimal(30,3)")
+    part = F.regexp_replace(F.regexp_extract(size.cast("string"), r"\.[0-9]+$", 0), r"\.?0+$", "")
+    return F.concat(F.lit("$"), F.when(number < 0, "-").otherwise(""), F.format_number(F.floor(size), 0), part)
+
+
+def two_decimals(c: Column) -> Column:
+    """A double with two decimals, rounded from its exact value: 1.005, which is a little less, gives 1.00."""
+    size = F.abs(c)
+    # 200 * size as a double and what that double lacks (Dekker's product): the nearest hundredth is told exactly.
+    product = size * 200
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    lacking = (high * 200 - product) + (size - high) * 200
+    tie_below = (product % 2 == 1) & (lacking < 0)
+    n = F.floor((product + 1) / 2) - tie_below.cast("int")
+    sign = F.when((c < 0), "-").otherwise("")
+    return F.concat(sign, F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
 
 
 def change_label(kind: Column, path: Column, before: Column, after: Column) -> Column:

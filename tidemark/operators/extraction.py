@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import number_text, price_count
+from tidemark.functions.expressions import SPACE, number_text, price_count, two_decimals
 
 # Plan names in order of preference, words that are no headings, and limits.
 PLAN_NAMES = ("Enterprise", "Business", "Professional", "Team", "Starter", "Growth", "Scale", "Premium", "Standard", "Individual", "Organization", "Developer", "Hobby", "Solo", "Basic", "Plus", "Pro")
@@ -20,7 +20,7 @@ HEADING = r"([A-Z][a-zA-Z]{1,24})(?=[$€£]\s?[0-9])"
 
 def number_appears(value: Column, text: Column) -> Column:
     """Whether a number stands in the text by itself, as it prints or with two decimals; commas do not count."""
-    plain, two = F.replace(text, F.lit(","), F.lit("")), F.format_string("%.2f", value)
+    plain, two = F.replace(text, F.lit(","), F.lit("")), two_decimals(value)
     forms = F.array_distinct(F.array(number_text(value), F.regexp_replace(two, r"\.?0+$", ""), two))
     bounded = lambda form: F.regexp_like(plain, F.concat(F.lit(r"(?<![0-9.])"), F.replace(form, F.lit("."), F.lit(r"\.")), F.lit("(?![0-9.])")))
     return F.exists(forms, bounded)
@@ -29,7 +29,8 @@ def number_appears(value: Column, text: Column) -> Column:
 def free_appears(name: Column, text: Column) -> Column:
     """Whether the page says that the tier is free: right after its name, or anywhere for a tier of that name."""
     word = F.regexp_like(text, F.lit(r"(?<![a-zA-Z])(?i:free)(?![a-z])"))
-    after_name = F.regexp_like(text, F.concat(F.lit(r"(?<![a-zA-Z])(?i:\Q"), name, F.lit(r"\E)[\s\p{P}]{0,6}(?i:free)(?![a-z])")))
+    literal = F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    after_name = F.regexp_like(text, F.concat(F.lit(r"(?<![a-zA-Z])(?i:\Q"), literal, F.lit(rf"\E)(?:{SPACE}|\p{{P}}){{0,6}}(?i:free)(?![a-z])")))
     return F.when(F.lower(F.trim(name)) == "free", word).otherwise(after_name)
 
 

@@ -90,7 +90,7 @@ def _label(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", X.change_label(F.col("change_type"), F.col("json_path"), F.col("before"), F.col("after")))
 
 
-_PLAIN = "case when {0} = 'null' then 'none' when {0} like '\"%' then {0}[2:-2] else {0} end"
+_PLAIN = "case when {0} = 'null' then 'none' when {0} like '\"%' then {0}[2:-2] when {0} like '[%' then array_to_string(cast(cast({0} as json) as varchar[]), ',') when {0} like '{{%' then '[object Object]' else {0} end"
 _MONEY = "concat('$', case when cast({0} as double) = floor(cast({0} as double)) then format('{{:,}}', cast({0} as bigint)) else {0} end)"
 _NAME = r"regexp_replace(json_path, '^tiers[.]', '')"
 _TIER = rf"case when json_path not like 'tiers.%' then json_path when regexp_matches({_NAME}, '[.]') then regexp_replace({_NAME}, '[.][^.]*$', '') else {_NAME} end"
