@@ -53,8 +53,8 @@ STEP = 2.0**-32
 FOLDS = 2
 #: Fewer trusted documents than this give a band no quantiles of its own.
 BAND_ROWS = 1000
-#: Tables of the lower orders, which the alphabet bounds, are broadcast up to this number of rows.
-BROADCAST_ROWS = 100_000
+#: Tables with a row for each character of a language are broadcast up to this number of rows.
+BROADCAST_ROWS = 50_000
 #: Bands of lengths start at so many characters.
 BANDS = (64, 256)
 #: Logarithms of perplexity may pass the quantiles by this much.
@@ -210,8 +210,9 @@ def scored_grams(counts: DataFrame, asked: DataFrame, use: Scratch) -> DataFrame
     rows = asked.join(F.broadcast(words), "lang")
     for order in range(1, ORDER + 1):
         own, hist = _order(orders[order])
-        if order <= 2 and orders[order].count() <= BROADCAST_ROWS:
-            own, hist = F.broadcast(own), F.broadcast(hist)  # a history for each row at most
+        if order <= 2 and orders[1].count() <= BROADCAST_ROWS:
+            hist = F.broadcast(hist)  # one history, or one for each character
+            own = F.broadcast(own) if order == 1 else own
         rows = rows.withColumn("_g", mask(order) if order < ORDER else F.col("gram")).withColumn("_h", F.shiftrightunsigned("_g", 16))
         rows = rows.join(own.select("lang", F.col("gram").alias("_g"), "own"), ["lang", "_g"], "left")
         rows = rows.join(hist.select("lang", F.col("hist").alias("_h"), "gamma"), ["lang", "_h"], "left")
