@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import lenses
 from tidemark.plans.catalogue import PAIRS_SQL, RUNS_SQL, _pairs, query
 from tidemark.sources.storage import new_folder
-from tidemark.streaming import archive
+from tidemark.streaming import alerts, archive
 from tidemark.streaming.runs import drained, opened_runs
 
 
@@ -54,3 +54,24 @@ def rebuild_equals_scratch(spark, sf_dir):
     both = kept.unionByName(scratch).groupBy(*names).agg(F.sum("kept").alias("kept"), F.sum("found").alias("found"))
     n = lambda when: F.coalesce(F.sum(when), F.lit(0)).cast("long")
     return both.agg(n(F.col("found")).alias("pairs"), n(F.greatest(F.col("found") - F.col("kept"), F.lit(0))).alias("missing"), n(F.greatest(F.col("kept") - F.col("found"), F.lit(0))).alias("extra"))
+
+
+#: Slices of time that come one after the other, and how long a row may be late.
+SLICES, DELAY_HOURS = 5, 1
+
+
+@query(f"""with o as (select user_id as source_id, epoch_us(ts) as at_us from events where event_type <> 'error' and user_id % 10 = cast(epoch_us(ts) // 259200000000 as bigint) % 10),
+ g as (select source_id, at_us as last_us, lead(at_us) over (partition by source_id order by at_us) as next_us from (select distinct * from o))
+ select source_id, last_us, last_us + {alerts.ABSENT_HOURS} * 3600000000 as raised_us from g
+ where coalesce(next_us, (select max(at_us) from o) - {DELAY_HOURS} * 3600000000) - last_us > {alerts.ABSENT_HOURS} * 3600000000""")
+def absence_alerts(spark, sf_dir):
+    """Silences of sources that are seen for three days in every thirty, as timers over several micro-batches raise them."""
+    folder = new_folder(spark, "absences")
+    at = F.col("ts").cast("timestamp")
+    events = lenses.table(spark, sf_dir, "events").where((F.col("event_type") != "error") & (F.col("user_id") % 10 == F.floor(F.unix_micros(at) / 259_200_000_000) % 10)).select(F.col("user_id").alias("source_id"), at.alias("at"))
+    first, last = events.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).head()
+    for n in range(SLICES):  # files are read in the order in which they came
+        share = F.least(F.floor((F.unix_micros("at") - (first or 0)) * SLICES / ((last or 0) - (first or 0) + 1)), F.lit(SLICES - 1))
+        events.where(share == n).coalesce(1).write.mode("append").parquet(f"{folder}/input")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
+    return drained(alerts.absences(stream, f"{DELAY_HOURS} hours"), folder)
