@@ -212,7 +212,7 @@ def scored_grams(counts: DataFrame, asked: DataFrame, use: Scratch) -> DataFrame
         own, hist = _order(orders[order])
         if order <= 2 and orders[1].count() <= BROADCAST_ROWS:
             hist = F.broadcast(hist)  # one history, or one for each character
-            own = F.broadcast(own) if order == 1 else own
+            own = F.broadcast(own) if order == 1 or orders[2].count() <= BROADCAST_ROWS else own
         rows = rows.withColumn("_g", mask(order) if order < ORDER else F.col("gram")).withColumn("_h", F.shiftrightunsigned("_g", 16))
         rows = rows.join(own.select("lang", F.col("gram").alias("_g"), "own"), ["lang", "_g"], "left")
         rows = rows.join(hist.select("lang", F.col("hist").alias("_h"), "gamma"), ["lang", "_h"], "left")
@@ -275,9 +275,9 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     """doc_id, lang, perplexity and keep of every document."""
     band = sum((F.when(F.col("n") >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
     rows = perplexities(docs, labels, FOLDS, row).withColumn("band", band)
-    # One row per language, or per language and band.
-    of_band = quantiles(rows, low, high).select("lang", "band", F.struct("low", "high", "rows").alias("own"))
-    of_lang = quantiles(rows.withColumn("band", F.lit(0)), low, high).select("lang", "mid")
+    # Tables of one row per language, or per language and band, written: the plans that use them stay small.
+    of_band, _ = written(quantiles(rows, low, high).select("lang", "band", F.struct("low", "high", "rows").alias("own")), "quality-bands")
+    of_lang, _ = written(quantiles(rows.withColumn("band", F.lit(0)), low, high).select("lang", "mid"), "quality-languages")
     rows = rows.join(F.broadcast(of_lang), "lang", "left")
     whole = -1  # all bands together
     apart = rows.select(F.lit("").alias("lang"), F.explode(F.array("band", F.lit(whole))).alias("band"), "trusted", (F.col("surprisal") - F.col("mid")).alias("surprisal"))
