@@ -8,6 +8,7 @@ streams rows in the order of their keys and holds one open run, however long a k
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,34 +21,41 @@ _COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 _READ = [*_COLUMNS, "run"]
 
 
-def same_state(a: dict, b: dict) -> bool:
+#: A row of a tier, and the open run that it may belong to.
+Tier = namedtuple("Tier", _READ)
+
+
+def same_state(a: Tier, b: Tier) -> bool:
     """Whether a tier still holds the state that opened its run."""
-    if any(a[c] != b[c] for c in ("monthly", "seats", "is_free", "is_enterprise")):
+    if (a.monthly, a.seats, a.is_free, a.is_enterprise) != (b.monthly, b.seats, b.is_free, b.is_enterprise):
         return False
-    if a["billing_unit"] != b["billing_unit"] and "unknown" not in (a["billing_unit"], b["billing_unit"]):
+    if a.billing_unit != b.billing_unit and "unknown" not in (a.billing_unit, b.billing_unit):
         return False
-    free = a["monthly"] == 0 and a["annual"] in (None, 0) and b["annual"] in (None, 0)
-    return a["annual"] == b["annual"] or free
+    free = a.monthly == 0 and a.annual in (None, 0) and b.annual in (None, 0)
+    return a.annual == b.annual or free
+
+
+def _rows(batch: pd.DataFrame) -> Iterator[Tier]:
+    """The rows, read column by column; what is missing is None."""
+    columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in _READ]
+    return map(Tier._make, zip(*columns, strict=True))
 
 
 def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = opened = None  # the open run's row, and the tier that opened it
+    held = opened = None  # the open run, and the row that opened it
     last = 0
     for batch in batches:
         done = []
-        for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-            goes_on = held is not None and all(row[c] == held[c] for c in KEY) and row["run"] == last + 1 and same_state(opened, row)
+        for row in _rows(batch):
+            goes_on = held is not None and row[: len(KEY)] == held[: len(KEY)] and row.run == last + 1 and same_state(opened, row)
             if goes_on:
-                held["last_us"] = row["last_us"]
-                if held["annual"] is None and row["annual"] == 0:
-                    held["annual"] = 0.0
-                if row["provenance"] != held["provenance"]:
-                    held["provenance"] = "mixed"
+                annual = 0.0 if held.annual is None and row.annual == 0 else held.annual
+                held = held._replace(last_us=row.last_us, annual=annual, provenance=held.provenance if row.provenance == held.provenance else "mixed")
             else:
                 if held is not None:
                     done.append(held)
-                held, opened = dict(row), row
-            last = row["run"]
+                held = opened = row
+            last = row.run
         if done:
             yield pd.DataFrame(done)[_COLUMNS]
     if held is not None:

@@ -14,7 +14,7 @@ GAP_DAYS = 75
 
 def price_points(runs: DataFrame, tiers: DataFrame) -> DataFrame:
     """source_id, run, at, tier, price, ord: known monthly prices; of tiers that share a name the last one counts."""
-    rows = runs.select("source_id", "run", F.col("first_at").alias("at"), "page_state").join(F.broadcast(tiers), "page_state")
+    rows = runs.select("source_id", "run", F.col("first_at").alias("at"), "page_state").join(tiers, "page_state")
     priced = rows.where("monthly is not null").groupBy("source_id", "run", F.col("name").alias("tier"))
     return priced.agg(F.first("at").alias("at"), F.max_by("monthly", "ord").alias("price"), F.min("ord").alias("ord"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import digests, timeline, observe
+from tidemark.operators import digests, observe, timeline
 from tidemark.plans import lenses
 from tidemark.plans.catalogue import CHANGES_SQL, CONFIRM_SQL, RUNS_SQL, _confirmed, _source_changes, _valid, query
 from tidemark.plans.crawling import LABEL_SQL, _label
@@ -74,7 +74,7 @@ _PRICE_SQL = r"cast(nullif(replace(regexp_extract(label, '\$([0-9,]+(?:\.[0-9]+)
 def marks_of_days(spark, sf_dir):
     """Marks of prices within the plotted times, one for each day, with the direction that its labels share."""
     marks = _label(_source_changes(spark, sf_dir).where("materiality >= 40 and change_type = 'price_changed'")).select("source_id", F.col("observed_at").alias("at"), "label")
-    points = timeline.price_points(observe.observation_runs(_valid(spark, sf_dir)), lenses.tiers(spark))
+    points = timeline.price_points(observe.observation_runs(_valid(spark, sf_dir)), F.broadcast(lenses.tiers(spark)))  # of 16 states
     return digests.day_marks(digests.inside_plot(marks, points))
 
 

@@ -20,7 +20,7 @@ US = lambda c: F.unix_micros(c.cast("timestamp"))
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.price_points(observe.observation_runs(_valid(spark, sf_dir)), lenses.tiers(spark))
+    return timeline.price_points(observe.observation_runs(_valid(spark, sf_dir)), F.broadcast(lenses.tiers(spark)))  # of 16 states
 
 
 POINTS_SQL = f"""{RUNS_SQL}, {TIERS_SQL}, points as (
