@@ -64,3 +64,10 @@ def test_estimates(spark):
     assert verifying.mean_cost(costs) == 11 and verifying.mean_cost(costs.where("1 = 0")) == 10_000
     row = spark.range(1).select(*verifying.verify_estimate(F.lit(3), F.lit(10), 60), verifying.overran(F.lit(121), F.lit(100)).alias("over"), verifying.overran(F.lit(1), F.lit(100)).alias("under"), verifying.overran(F.lit(1), F.lit(0)).alias("none")).first()
     assert row.asDict() == {"micros": 60, "within_budget": True, "over": True, "under": False, "none": True}
+
+
+def test_a_candidate_without_a_canary_is_refused(spark):
+    rows = [("https://A.example/p?q", "Ex & Am", "dev", "admit", "Team"), ("https://b.example", "B", "dev", "pass", None), ("https://c.example", "C", "dev", "pass", ""), ("https://d.example", "D", "dev", "reject", "Team")]
+    found = {r["name"]: r["entry"] for r in verifying.config_entries(spark.createDataFrame(rows, "url string, name string, category string, verdict string, canary string")).collect()}
+    assert set(found) == {"Ex & Am", "B", "C"} and found["B"] is None and found["C"] is None
+    assert found["Ex & Am"].split("\n")[1:4] == ["    slug: 'ex-am',", "    name: 'Ex & Am',", "    homepage: 'https://a.example',"]

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import slug
 from tidemark.operators.scans import Scan
 
 # The range of priced tiers of a plan table, the cost of a reading before any is known, and how far spending may pass its estimate.
@@ -71,3 +72,23 @@ def verified(candidates: DataFrame, budget: int) -> DataFrame:
     reason = F.when(over | (F.col("fetched") & raised), None).when(~F.col("fetched"), unread).when(admitted, found).when(agreed & (a["tiers"] > MAX_TIERS), units).otherwise(differ)
     spent = F.when(read_once, F.col("_c1")).when(over, 0).otherwise(F.col("_cost"))
     return rows.select("url", outcome.alias("outcome"), reason.alias("reason"), F.when(outcome == "admitted", a["tiers"]).alias("priced_tiers"), spent.cast("long").alias("cost_micros"))
+
+
+def config_entries(candidates: DataFrame, cadence_hours: int = 24) -> DataFrame:
+    """name, entry: the configuration of each passed or admitted candidate (url, name, category, verdict, canary) as text, in the form that
+    the configuration file has. One without a canary of its own has no entry: it is refused, not given a guess."""
+    rows = candidates.where(F.col("verdict").isin("pass", "admit"))
+    origin = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0))
+    lines = [
+        F.lit("  {"), F.concat(F.lit("    slug: '"), slug(F.col("name")), F.lit("',")), F.concat(F.lit("    name: '"), "name", F.lit("',")), F.concat(F.lit("    homepage: '"), origin, F.lit("',")),
+        F.concat(F.lit("    // category: "), "category"),
+        F.concat(F.lit("    sources: [{ kind: 'pricing', url: '"), "url", F.lit("', canaryString: '"), "canary", F.lit(f"', cadenceHours: {cadence_hours} }}],")), F.lit("  },"),
+    ]
+    known = F.coalesce("canary", F.lit("")) != ""
+    return rows.select("name", F.when(known, F.array_join(F.array(*lines), "\n")).alias("entry"))
+
+
+def excluded(rejected: DataFrame, errored: DataFrame) -> DataFrame:
+    """name and why of everything that is left out, rejected (name, reason) or not reached (name, error: its first line counts)."""
+    failed = errored.select("name", F.substring(F.substring_index("error", "\n", 1), 1, 300).alias("why"))
+    return rejected.select("name", F.col("reason").alias("why")).unionByName(failed)

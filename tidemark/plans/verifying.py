@@ -75,3 +75,25 @@ def verification_summary(spark, sf_dir):
     estimate = verifying.verify_estimate(F.col("considered"), F.lit(mean), budget)
     found = found.select("*", estimate[0].alias("estimate_micros"), estimate[1])
     return found.withColumn("overran", verifying.overran(F.col("actual_micros"), F.col("estimate_micros")))
+
+
+@query("""select name, case when n % 4 <> 1 then concat('  {', chr(10), '    slug: ''', trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), ''',', chr(10), '    name: ''', name, ''',', chr(10), '    homepage: ''https://c', n, '.example'',', chr(10), '    // category: ', c_mktsegment, chr(10),
+ '    sources: [{ kind: ''pricing'', url: ''https://C', n, '.example/pricing?x=1'', canaryString: ''Team ', n, ''', cadenceHours: 24 }],', chr(10), '  },') end as entry
+ from (select cast(c_custkey as bigint) as n, concat(c_name, ' & Co.') as name, c_mktsegment from customer) where n % 3 <> 0""")
+def config_emit(spark, sf_dir):
+    """Configuration of the candidates that passed; those without a canary are refused by name."""
+    n = F.col("c_custkey").cast("long")
+    rows = lenses.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("https://C"), n.cast("string"), F.lit(".example/pricing?x=1")).alias("url"), F.concat("c_name", F.lit(" & Co.")).alias("name"), F.col("c_mktsegment").alias("category"),
+        F.when(n % 3 == 0, "reject").when(n % 3 == 1, "pass").otherwise("admit").alias("verdict"), F.when(n % 8 == 1, "").when(n % 4 != 1, F.concat(F.lit("Team "), n.cast("string"))).alias("canary"),
+    )
+    return verifying.config_entries(rows)
+
+
+@query(f"""with recursive {_VERIFY_SQL} select url as name, {_REASON_SQL} as why from fold join cand using (rn) where outcome = 'rejected' union all select url, 'raised' from fold join cand using (rn) where outcome = 'errored'""")
+def excluded_candidates(spark, sf_dir):
+    """What the pass leaves out, and why."""
+    rows = _candidates(spark, sf_dir)
+    found = verifying.verified(rows, _budget(rows))
+    errored = found.where("outcome = 'errored'").select(F.col("url").alias("name"), F.lit("raised\nat line 1").alias("error"))
+    return verifying.excluded(found.where("outcome = 'rejected'").select(F.col("url").alias("name"), "reason"), errored)
