@@ -10,6 +10,13 @@ from tidemark.functions import markup
 from tidemark.operators import extraction
 from tidemark.plans.catalogue import query
 from tidemark.plans.lenses import table
+from tidemark.sources.storage import dealt
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, dealt to tasks by their number: a row of few bytes becomes a page or a text that takes its time."""
+    return dealt(table(spark, sf_dir, "part"), "p_partkey")
+
 
 _PRICED = (
     "concat('<html><body><nav>Home $1</nav><div class=\"cookie-banner\">ok $2</div><main><div><h2>', p_type, '</h2><p>$', cast(p_size as {t}), '/mo</p></div> <div><h2>Pro</h2><p>$', cast(cast(floor(p_retailprice) as bigint) as {t}), "
@@ -21,7 +28,7 @@ _PRICED_TEXT = "concat(p_type, '$', cast(p_size as varchar), '/mo Pro$', cast(ca
 @query(f"select p_partkey, {_PRICED_TEXT} as text, sha256({_PRICED_TEXT}) as normalized_hash from part")
 def html_normalize_closed_form(spark, sf_dir):
     """Pages whose text is known: noise goes, the slice stops where each of two blocks holds half of the prices."""
-    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(_PRICED.format(t="string")).alias("html"))
+    pages = _parts(spark, sf_dir).select("p_partkey", F.expr(_PRICED.format(t="string")).alias("html"))
     return pages.select("p_partkey", markup.normalized(F.col("html")).alias("n")).select("p_partkey", "n.*")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Tables of up to this number of rows are broadcast.
 SMALL_ROWS = 200_000
+#: Rows that a task takes, about, where each of them costs much work: a table of few bytes is otherwise read by few tasks.
+TASK_ROWS = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +43,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(rows: int, each: int | None = None) -> int:
+    """The number of tasks for so many rows, at ``each`` (or TASK_ROWS) rows a task."""
+    return max(1, math.ceil(rows / (each or TASK_ROWS)))
+
+
+def dealt(df: DataFrame, key: str, each: int | None = None) -> DataFrame:
+    """``df``, a stored table (its rows are counted from footers), dealt by a key to tasks of about ``each`` (or TASK_ROWS) rows, however few its bytes are."""
+    return df.repartition(tasks_for(df.count(), each), key)
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, a written table, marked for broadcast if it is small."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
