@@ -46,7 +46,7 @@ _HAYSTACK = "concat(repeat('ab ', cast(p_partkey % 50 as int)), '$1 $2', repeat(
  select p_partkey, cast(arg_max(start, (prices, -start)) as bigint) as start, max(prices) as prices from n group by p_partkey""")
 def densest_window(spark, sf_dir):
     """Where the window of 100 characters with most prices starts."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_HAYSTACK).alias("text"))
+    rows = _parts(spark, sf_dir).select("p_partkey", F.expr(_HAYSTACK).alias("text"))
     best = X.densest_window(F.col("text"), 100, 12)
     return rows.select("p_partkey", best.alias("b")).select("p_partkey", (-F.col("b.start")).cast("long").alias("start"), F.col("b.prices").cast("long").alias("prices"))
 
