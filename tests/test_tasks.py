@@ -22,7 +22,7 @@ def test_rows_make_the_number_of_tasks(spark):
     assert [storage.tasks_for(n, 10) for n in (0, 1, 10, 11, 1000)] == [1, 1, 1, 2, 100]
 
 
-@pytest.mark.parametrize("name", ["html_normalize_closed_form", "densest_window"])
+@pytest.mark.parametrize("name", ["html_normalize_closed_form", "densest_window", "candidate_score", "canary_pick"])
 def test_pages_of_a_small_file_are_dealt_by_rows(spark, few_rows, name):
     n = spark.read.parquet(f"{SF}/part.parquet").count()
     assert tasks_of(spark, name) == storage.tasks_for(n, 50) > 1

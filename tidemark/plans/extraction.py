@@ -109,7 +109,7 @@ SCREEN_SQL = rf"""raw as (select p_partkey, {_CANDIDATE.format(t='varchar')} as
 
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CANDIDATE.format(t="string")).alias("raw"))
+    pages = _parts(spark, sf_dir).select("p_partkey", F.expr(_CANDIDATE.format(t="string")).alias("raw"))
     return extraction.screened(pages.withColumn("text", markup.normalized(F.col("raw"))["text"]))
 
 
