@@ -1,8 +1,10 @@
 """Work that is heavy for each row is dealt to tasks by rows: a small file is not one task."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.functions import documents
 from tidemark.sources import storage
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +28,16 @@ def test_rows_make_the_number_of_tasks(spark):
 def test_pages_of_a_small_file_are_dealt_by_rows(spark, few_rows, name):
     n = spark.read.parquet(f"{SF}/part.parquet").count()
     assert tasks_of(spark, name) == storage.tasks_for(n, 50) > 1
+
+
+def test_documents_of_a_small_file_are_dealt_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(storage, "tasks_for", lambda rows, each=None: seen.append((rows, each)) or 3)
+    assert tasks_of(spark, "schema_valid_rows") == 3
+    assert seen == [(spark.read.parquet(f"{SF}/events.parquet").count(), 100_000)]
+
+
+def test_a_document_is_parsed_once(spark):
+    found = spark.range(1).select(documents.schema_violations(F.col("id").cast("string")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1, plan.count("parseJson")

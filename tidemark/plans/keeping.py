@@ -11,7 +11,7 @@ from tidemark.operators import merging, observe
 from tidemark.plans import lenses
 from tidemark.plans.catalogue import EXTRACTIONS_SQL, RUNS_SQL, query
 from tidemark.plans.lenses import table
-from tidemark.sources.storage import new_folder
+from tidemark.sources.storage import dealt, new_folder
 
 _V4 = "concat_ws('.', cast(n % 256 as {text}), cast(n * 7 % 256 as {text}), cast(n * 3 % 256 as {text}), '1')"
 _HOSTS = [
@@ -63,7 +63,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (part, other, _) in enumerate(_FAULTS):
         if part:
             text = F.when(fault == i, F.lit(_SOUND.replace(part, other, 1))).otherwise(text)
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.alias("data"))
+    return dealt(table(spark, sf_dir, "events"), "event_id", 100_000).select(F.col("event_id").alias("id"), text.alias("data"))
 
 
 _FOUND_SQL = " ".join(f"when {i} then '{found}'" for i, (_, _, found) in enumerate(_FAULTS))
