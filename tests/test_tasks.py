@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.functions import documents
+from tidemark.plans import lenses
 from tidemark.sources import storage
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,9 @@ def test_a_document_is_parsed_once(spark):
     found = spark.range(1).select(documents.schema_violations(F.col("id").cast("string")))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1, plan.count("parseJson")
+
+
+def test_pairs_of_orders_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(lenses, "SORTED_ROWS", 1000)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert tasks_of(spark, "tier_match_exact_norm_positional") == storage.tasks_for(2 * n, 1000) > 4

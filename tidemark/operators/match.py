@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import normal_metric, normal_name, prices_close
 
 
-def _both(before: DataFrame, after: DataFrame, fields: list[str]) -> DataFrame:
+def _both(before: DataFrame, after: DataFrame, fields: list[str], tasks: int | None = None) -> DataFrame:
     side = lambda rows, s: rows.select("pair_id", "ord", F.lit(s).alias("side"), F.struct("ord", *fields).alias("row"))
-    return side(before, 0).unionByName(side(after, 1)).repartition("pair_id").withColumns({"how": F.lit(None).cast("string"), "other": F.lit(None).cast(_type(before, ["ord", *fields]))})
+    both = side(before, 0).unionByName(side(after, 1))
+    return both.repartition(*([tasks] if tasks else []), "pair_id").withColumns({"how": F.lit(None).cast("string"), "other": F.lit(None).cast(_type(before, ["ord", *fields]))})
 
 
 def _type(rows: DataFrame, fields: list[str]):
@@ -50,11 +51,12 @@ def _matches(rows: DataFrame) -> DataFrame:
     )
 
 
-def match_tiers(before: DataFrame, after: DataFrame, fields: tuple[str, ...] = ("name", "monthly")) -> DataFrame:
+def match_tiers(before: DataFrame, after: DataFrame, fields: tuple[str, ...] = ("name", "monthly"), tasks: int | None = None) -> DataFrame:
     """pair_id, how (exact, normalized, positional, removed or added), before and after: structs of ord and ``fields``.
 
-    Both sides have pair_id, ord and ``fields``, with name and monthly among them."""
-    rows = _both(before, after, list(fields))
+    Both sides have pair_id, ord and ``fields``, with name and monthly among them. Each stage sorts a task's rows and holds them:
+    of large tables ``tasks`` says to how many the pairs are dealt; else the session's shuffle partitions do."""
+    rows = _both(before, after, list(fields), tasks)
     rows = _stage(rows, F.col("row.name"), "exact")
     rows = _stage(rows, normal_name(F.col("row.name")), "normalized")
     near = prices_close(F.col("_b.monthly"), F.col("_a.monthly"))

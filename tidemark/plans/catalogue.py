@@ -245,7 +245,7 @@ _OD_SQL = """op as (select o_orderkey as pair_id, lag(o_orderkey) over (partitio
 
 @query(f"with {_OD_SQL}, {MATCH_SQL} select pair_id, cast(before_ord as bigint) as before_ord, cast(after_ord as bigint) as after_ord, how from matched")
 def tier_match_exact_norm_positional(spark, sf_dir):
-    found = match.match_tiers(*lenses.order_tiers(spark, sf_dir))
+    found = match.match_tiers(*lenses.order_tiers(spark, sf_dir), tasks=lenses.order_tasks(spark, sf_dir))
     return found.select("pair_id", F.col("before.ord").cast("long").alias("before_ord"), F.col("after.ord").cast("long").alias("after_ord"), "how")
 
 

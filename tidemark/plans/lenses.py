@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import dealt, tasks_for
+
 #: Queries that depend on the time take this one; nothing reads the clock.
 AS_OF = "2024-01-31 00:00:00"
 
@@ -97,13 +99,22 @@ def extractions(spark: SparkSession) -> DataFrame:
     return spark.sql(EXTRACTIONS.format(text="string", sha="sha2(concat(t, ':', cast(j as string)), 256)"))
 
 
+#: Rows of a task that holds them sorted several times over.
+SORTED_ROWS = 250_000
+
+
+def order_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for both sides of ``order_tiers``."""
+    return tasks_for(2 * table(spark, sf_dir, "lineitem").count(), SORTED_ROWS)
+
+
 def order_tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Tiers of each order and the order before it of the same customer: (before, after), keyed by pair_id."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     previous = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     pairs = orders.select(F.col("o_orderkey").alias("pair_id"), previous.alias("previous")).where("previous is not null")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", SORTED_ROWS).select(
         "l_orderkey",
         (F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)) - 1).alias("ord"),
         F.concat(F.lit("P"), (F.col("l_partkey") % 5).cast("string"), F.when(F.col("l_suppkey") % 3 == 0, " Plan").otherwise("")).alias("name"),
