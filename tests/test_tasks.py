@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.functions import documents
-from tidemark.plans import lenses
+from tidemark.plans import lenses, streams
 from tidemark.sources import storage
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,10 @@ def test_pairs_of_orders_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(lenses, "SORTED_ROWS", 1000)
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert tasks_of(spark, "tier_match_exact_norm_positional") == storage.tasks_for(2 * n, 1000) > 4
+
+
+def test_a_batch_of_an_archive_has_many_files(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 50, raising=False)
+    folder = streams._maintained(spark, SF)
+    batches = spark.read.schema("batch long").parquet(f"{folder}/observations").select("batch").distinct().count()
+    assert len(spark.read.parquet(f"{folder}/input").inputFiles()) > 2 * batches == 2 * streams.BATCHES

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import lenses
 from tidemark.plans.catalogue import PAIRS_SQL, RUNS_SQL, _pairs, query
-from tidemark.sources.storage import new_folder
+from tidemark.sources.storage import new_folder, tasks_for
 from tidemark.streaming import alerts, archive
 from tidemark.streaming.runs import drained, opened_runs
 
@@ -22,19 +22,24 @@ def stream_runs(spark, sf_dir):
     return drained(opened_runs(rows.join(wanted, "page_state")), new_folder(spark, "stream-runs"))
 
 
-#: Files that the table is dealt to by a hash of the id: each holds rows of all times, so that all but the first batch are late.
+#: Rows of a file of a stream's input; a batch has as many files as it needs, so that many tasks write and read it.
+FILE_ROWS = 100_000
+#: Batches that the table is dealt to by a hash of the id: each holds rows of all times, so that all but the first batch are late.
 BATCHES = 4
 
 
 def _maintained(spark: SparkSession, sf_dir: str) -> str:
     """The folder of an archive that a stream of BATCHES batches, out of order, has built."""
     folder = new_folder(spark, "archive")
-    events = lenses.table(spark, sf_dir, "events").repartition(BATCHES, F.xxhash64("event_id"))
-    events.write.parquet(f"{folder}/input")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
+    events = lenses.table(spark, sf_dir, "events")
+    files = tasks_for(events.count() // BATCHES, FILE_ROWS)
+    arrivals = [events.where(F.pmod(F.xxhash64("event_id"), F.lit(BATCHES)) == n).repartition(files, "event_id") for n in range(BATCHES)]
     wanted = lenses.extractions(spark).where("currency = 'USD'").select("page_state", "confidence")
-    rows = lenses.fetched(stream).where("ok and error is null").join(F.broadcast(wanted), "page_state")  # 16 rows
-    archive.maintained(rows.select(*[c.split()[0] for c in archive.OBSERVATION.split(", ")]), folder)
+    for arrived in arrivals:  # what has arrived is one batch, whatever its files are
+        arrived.write.mode("append").parquet(f"{folder}/input")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/input")
+        rows = lenses.fetched(stream).where("ok and error is null").join(F.broadcast(wanted), "page_state")  # 16 rows
+        archive.maintained(rows.select(*[c.split()[0] for c in archive.OBSERVATION.split(", ")]), folder)
     return folder
 
 
