@@ -55,3 +55,11 @@ def test_a_batch_of_an_archive_has_many_files(spark, monkeypatch):
     folder = streams._maintained(spark, SF)
     batches = spark.read.schema("batch long").parquet(f"{folder}/observations").select("batch").distinct().count()
     assert len(spark.read.parquet(f"{folder}/input").inputFiles()) > 2 * batches == 2 * streams.BATCHES
+
+
+def test_a_slice_of_time_has_many_files(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 5, raising=False)
+    folders = []
+    monkeypatch.setattr(streams, "new_folder", lambda *a: folders.append(storage.new_folder(*a)) or folders[-1])
+    entry.queries()["absence_alerts"](spark, SF)
+    assert len(spark.read.parquet(f"{folders[0]}/input").inputFiles()) > 2 * streams.SLICES

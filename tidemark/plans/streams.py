@@ -74,9 +74,11 @@ def absence_alerts(spark, sf_dir):
     folder = new_folder(spark, "absences")
     at = F.col("ts").cast("timestamp")
     events = lenses.table(spark, sf_dir, "events").where((F.col("event_type") != "error") & (F.col("user_id") % 10 == F.floor(F.unix_micros(at) / 259_200_000_000) % 10)).select(F.col("user_id").alias("source_id"), at.alias("at"))
-    first, last = events.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).head()
-    for n in range(SLICES):  # files are read in the order in which they came
+    first, last, rows = events.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at")), F.count("*")).head()
+    files = tasks_for(rows // SLICES, FILE_ROWS)
+    for n in range(SLICES):  # what has arrived is one batch, whatever its files are
         share = F.least(F.floor((F.unix_micros("at") - (first or 0)) * SLICES / ((last or 0) - (first or 0) + 1)), F.lit(SLICES - 1))
-        events.where(share == n).coalesce(1).write.mode("append").parquet(f"{folder}/input")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
-    return drained(alerts.absences(stream, f"{DELAY_HOURS} hours"), folder)
+        events.where(share == n).repartition(files, "source_id").write.mode("append").parquet(f"{folder}/input")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/input")
+        found = drained(alerts.absences(stream, f"{DELAY_HOURS} hours"), folder)
+    return found
