@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import bpe, packing, pages, pii, quality, sharding, simhash
+from tidemark.llm import bpe, common, packing, pages, pii, quality, sharding, simhash
 from tidemark.llm.common import Scratch
 from tidemark.llm.tokenizers import ENCODING_VOCABULARY, PACKING_VOCABULARY, encoding, token_bytes, vocabulary_path
 
@@ -67,6 +67,29 @@ def test_simhash_matches_brute_force(spark, corpus):
     assert {k: r["component_id"] for k, r in found.items()} == {r["doc_id"]: rows[root[i]]["doc_id"] for i, r in enumerate(rows)}
 
 
+def test_a_worker_remembers_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(simhash, "_known", {})
+    hashed = lambda words: [simhash.xxhash.xxh64_intdigest(w, 42) for w in words]
+    for start in range(0, 200_000, 1_000):
+        words = [b"the", *(b"w%d" % i for i in range(start, start + 1_000)), b"x" * (1_000 + start), b"the"]
+        assert simhash.word_hashes(words).tolist() == hashed(words)
+    assert 0 < len(simhash._known) <= 1 << 16 and max(map(len, simhash._known)) <= 64
+    many = [b"v%d" % i for i in range(100_000)]  # more than are remembered, in one text
+    assert simhash.word_hashes(many).tolist() == hashed(many) and len(simhash._known) <= 1 << 16
+
+
+def test_a_worker_gives_back_what_arrow_keeps(monkeypatch):
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    assert list(common.frugal(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and Pool.released == 1
+    assert common.frugal_column(lambda values: values)([3]) == [3] and Pool.released == 2
+
+
 def test_simhash_edges(docs):
     found = simhash.linked(docs).collect()
     assert len(found) == docs.count()

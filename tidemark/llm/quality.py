@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .common import Scratch, bucketed, text_batches, written
+from .common import Scratch, bucketed, frugal, text_batches, written
 
 ORDER = 4
 CHUNK_CHARS = 8 << 20
@@ -169,6 +169,7 @@ def _scored(docs: pa.Table, scores: pa.Table) -> pa.Table:
         mean = -sums / np.maximum(sizes, 1) * STEP
         unknown = (sizes == 0) | (len(keys) == 0)
         out.append(pa.table({"doc_id": rows.column(0), "lang": pa.array([docs["lang"][0].as_py()] * len(texts)), "trusted": rows.column(2), "n": pa.array(sizes), "surprisal": pa.array(mean, mask=unknown)}))
+    pa.default_memory_pool().release_unused()
     return pa.concat_tables(out)
 
 
@@ -241,16 +242,16 @@ def perplexities(docs: DataFrame, labels: DataFrame, folds: int = 1, row: str =
         chars = docs.agg(F.sum(F.char_length("text"))).head()[0] or 0
         rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-chars // (4 * folds * CHUNK_CHARS))))
         # Buckets by chunk: the texts lie where their scores will come, and are never shuffled.
-        with bucketed(rows.mapInArrow(_chunked, "chunk long, lang string, fold int, docs binary"), "chunk", "quality_chunks") as chunks:
+        with bucketed(rows.mapInArrow(frugal(_chunked), "chunk long, lang string, fold int, docs binary"), "chunk", "quality_chunks") as chunks:
             chunk_schema = "chunk long, lang string, fold int, gram long, n long"
             model = lambda fold: F.concat("lang", F.lit("/"), fold.cast("string")).alias("lang")
-            counts = chunks.mapInArrow(_chunk_counts(True), chunk_schema).groupBy("lang", "fold", "gram").agg(F.sum("n").alias("c"))
+            counts = chunks.mapInArrow(frugal(_chunk_counts(True)), chunk_schema).groupBy("lang", "fold", "gram").agg(F.sum("n").alias("c"))
             others = F.array(*map(F.lit, range(folds)))
             if folds > 1:
                 others = F.array_remove(others, F.col("fold"))
             counts = counts.select("lang", "gram", "c", F.explode(others).alias("of")).groupBy(model(F.col("of")), "gram").agg(F.sum("c").alias("c"))
             counts = use.written(counts, "quality-counts")
-            held = use.written(chunks.mapInArrow(_chunk_counts(False), chunk_schema).select("chunk", model(F.col("fold")), "gram"), "quality-grams")
+            held = use.written(chunks.mapInArrow(frugal(_chunk_counts(False)), chunk_schema).select("chunk", model(F.col("fold")), "gram"), "quality-grams")
             scores = use.written(scored_grams(counts, held.select("lang", "gram").distinct(), use), "quality-scores")
             back = held.join(scores, ["lang", "gram"]).select("chunk", "gram", "logp")
             found = chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_scored, "doc_id long, lang string, trusted boolean, n long, surprisal double")

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_batches, written
+from .common import Scratch, frugal, frugal_column, text_batches, written
 from .components import roots
 
 SEED = 42
@@ -274,6 +274,9 @@ COMMON_BITS = 22
 # Odd multipliers that mix 64 bits.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _FINAL = np.uint64(0xBF58476D1CE4E5B9)
+#: Words that a worker remembers, and the bytes of the longest: a worker lives as long as its session.
+KNOWN_WORDS = 1 << 16
+KNOWN_BYTES = 64
 _known: dict[bytes, int] = {}
 
 
@@ -282,10 +285,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     try:
         return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_known) > 1 << 20:
+        own = {w: _known[w] if w in _known else xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+        if len(_known) + len(own) > KNOWN_WORDS:
             _known.clear()
-        _known.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in set(words) if w not in _known)
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+        if len(own) <= KNOWN_WORDS:
+            _known.update((w, h) for w, h in own.items() if len(w) <= KNOWN_BYTES)
+        return np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -341,7 +346,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     many texts of a sample."""
     sets = lambda texts: pa.array([shingles(t).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    found = sample.select(F.explode(F.arrow_udf(sets, "array<bigint>")("text")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    found = sample.select(F.explode(F.arrow_udf(frugal_column(sets), "array<bigint>")("text")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
     top = found.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).collect()
     rank = np.zeros(1 << COMMON_BITS, np.int8)
     at = np.array([r["shingle"] for r in top], np.int64) & ((1 << COMMON_BITS) - 1)
@@ -560,7 +565,7 @@ def open_pairs(shared: DataFrame, root: DataFrame, sketches: DataFrame, apart: f
     blocks = asking.unionByName(held).select("least", *shown, "root", "asks", F.xxhash64("leaf", "i", "j").alias("block"))
     count = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ask = partial(_possible, apart=apart, best=askers is None)
-    return blocks.repartition(count, "block").sortWithinPartitions("block", F.desc("asks")).mapInArrow(ask, "u long, v long, asker long, more boolean")
+    return blocks.repartition(count, "block").sortWithinPartitions("block", F.desc("asks")).mapInArrow(frugal(ask), "u long, v long, asker long, more boolean")
 
 
 def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -599,7 +604,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: float, use: Scratch
     texts = docs.join(_small(sent, BROADCAST_IDS), "doc_id").select(F.xxhash64("key").alias("part"), "key", "first", "doc_id", "text")
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = texts.repartition(count, "part").sortWithinPartitions("part", "key", F.desc("first")).select("part", "first", "doc_id", "text")
-    return use.written(ordered.mapInArrow(partial(_compared, similarity=similarity), "u long, v long").distinct(), "similar-close")
+    return use.written(ordered.mapInArrow(frugal(partial(_compared, similarity=similarity)), "u long, v long").distinct(), "similar-close")
 
 
 def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -608,7 +613,7 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     spark, apart = df.sparkSession, (1 - similarity) / (1 + similarity)
     with Scratch(spark) as use:
         docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
-        keys = use.written(docs.select("doc_id", F.arrow_udf(_keys, "binary")("text").alias("key")), "similar-keys")
+        keys = use.written(docs.select("doc_id", F.arrow_udf(frugal_column(_keys), "binary")("text").alias("key")), "similar-keys")
         least = use.written(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "similar-least").where("least is not null")
         # Copies of a text that comes earlier are profiled no more.
         copies = use.written(keys.join(least.where("n > 1"), "key").where("doc_id <> least").select("doc_id").distinct(), "similar-copies")
@@ -616,7 +621,7 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
         docs = docs.where("doc_id is not null")  # the others take the group of their text
         once = docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
         common = common_shingles(once)
-        profile = F.arrow_udf(lambda texts: _profiles(texts, similarity, common), PROFILE).asNondeterministic()
+        profile = F.arrow_udf(frugal_column(lambda texts: _profiles(texts, similarity, common)), PROFILE).asNondeterministic()
         # Repeated rows of one id are read once; those whose texts differ keep the profile of one of them.
         profiles = use.written(once.select(F.col("doc_id").alias("least"), profile(F.col("text")).alias("p")).select("least", "p.*"), "similar-profiles")
         repeated = keys.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("least"))
@@ -629,12 +634,12 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
         shards = profiles.select("least", F.col("wide")[0].alias("w0"), F.col("wide")[1].alias("w1"), F.explode(F.array(*leaves)).alias("leaf"))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         dealt, to_first = spread(shards, use)
-        proposed = dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_proposals, "u long, v long").unionByName(to_first).distinct()
+        proposed = dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(frugal(_proposals), "u long, v long").unionByName(to_first).distinct()
         sketches = profiles.select("least", "n", *(F.col("odd")[w].alias(f"o{w}") for w in range(ODD)), "long")
         close = confirmed(likely(proposed, sketches, apart), once, similarity, use)
         root = roots(close)
         labelled = profiles.join(root.select(F.col("u").alias("least"), F.col("v").alias("root")), "least", "left").select("least", F.explode("rarest").alias("leaf"), F.coalesce("root", "least").alias("root"))
-        shared = use.written(labelled.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_open_rows, "leaf long, least long"), "similar-shared")
+        shared = use.written(labelled.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(frugal(_open_rows), "leaf long, least long"), "similar-shared")
         # The nearest of each other group first; then, for rows with others that are in another group still, all.
         near = use.written(open_pairs(shared, root, sketches, apart, None, use), "similar-near")
         tested = use.written(likely(near.select("u", "v").distinct(), sketches, apart), "similar-open")
